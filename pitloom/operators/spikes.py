@@ -13,9 +13,9 @@ STEPS = 8
 SIDE = 5
 
 
-def _median_of_5(a: Column) -> Column:
+def _median_of_5(a: list[Column]) -> Column:
     """The third of five by exchanges: the lowest and the highest of two pairs can't be it."""
-    p, q, r, s, t = (F.element_at(a, k) for k in range(1, 6))
+    p, q, r, s, t = a
     low = F.greatest(F.least(p, q), F.least(r, s))
     high = F.least(F.greatest(p, q), F.greatest(r, s))
     return F.greatest(F.least(low, high), F.least(F.greatest(low, high), t))
@@ -41,28 +41,26 @@ def phase_space(readings: DataFrame, keys: list[str], value: str = "value", even
     current = rows.withColumn("_then", F.lead("_t").over(w.orderBy("_t", *ties))).filter(F.col("_then").isNull() | (F.col("_then") != F.col("_t"))).drop("_then")
     edged = with_edges(current.select(*keys, SHARD, "_t", ties[-1], "value"), keys, ["_t"], ["value"], SIDE)
     o = w.orderBy("_t")
-    lags = F.array_compact(F.array(*[F.lag("value", k).over(o) for k in range(SIDE, 0, -1)]))
-    leads = F.array_compact(F.array(*[F.lead("value", k).over(o) for k in range(1, SIDE + 1)]))
-    near = edged.withColumn("_p", lags).withColumn("_n", leads)
-    outside = lambda a: F.transform(a, lambda x: x["value"])
-    p = F.when(F.size("_p") < SIDE, F.concat(outside(F.col("_before")), F.col("_p"))).otherwise(F.col("_p"))
-    n = F.when(F.size("_n") < SIDE, F.slice(F.concat(F.col("_n"), outside(F.col("_after"))), 1, SIDE)).otherwise(F.col("_n"))
-    near = near.select(*keys, SHARD, F.col(ties[-1]).alias(row_id), "value", F.when(F.size(p) > SIDE, F.slice(p, -SIDE, SIDE)).otherwise(p).alias("_p"), n.alias("_n"))
-    v, last, following = F.col("value"), F.try_element_at("_p", F.lit(-1)), F.try_element_at("_n", F.lit(1))
-
-    def equal(a: Column, positions) -> Column:
-        count, chain = F.lit(0), F.lit(True)
-        for k in positions:
-            chain = chain & F.coalesce(F.try_element_at(a, F.lit(k)) == v, F.lit(False))
-            count = count + chain.cast("int")
+    steps = range(1, SIDE + 1)
+    near = edged.select("*", *[F.lag("value", k).over(o).alias(f"_p{k}") for k in steps], *[F.lead("value", k).over(o).alias(f"_n{k}") for k in steps])
+    left, right = F.col("_rn"), (F.col("_cnt") - F.col("_rn") + 1).cast("int")  # places from either edge of the shard
+    earlier = [F.when(left > k, F.col(f"_p{k}")).otherwise(F.try_element_at("_before", left - k - 1)["value"]) for k in steps]
+    later = [F.when(right > k, F.col(f"_n{k}")).otherwise(F.try_element_at("_after", k + 1 - right)["value"]) for k in steps]
+    near = near.select(*keys, SHARD, F.col(ties[-1]).alias(row_id), "value", *[x.alias(f"_p{k}") for k, x in zip(steps, earlier)], *[x.alias(f"_n{k}") for k, x in zip(steps, later)])
+    p, n, v = [F.col(f"_p{k}") for k in steps], [F.col(f"_n{k}") for k in steps], F.col("value")
+
+    def equal(neighbours: list[Column]) -> Column:
+        count = F.lit(SIDE)
+        for k in reversed(range(SIDE)):
+            count = F.when(neighbours[k].isNotNull() & (neighbours[k] == v), count).otherwise(F.lit(k))
         return count
 
     return stage(near.select(
         *keys, SHARD, row_id, "value",
-        F.when(F.size("_p") == SIDE, F.abs(v - _median_of_5(F.col("_p")))).alias("before"),
-        F.when(F.size("_n") == SIDE, F.abs(v - _median_of_5(F.col("_n")))).alias("after"),
-        F.abs(v - last).alias("d1"), F.abs(following - 2 * v + last).alias("d2"),
-        (1 + equal(F.col("_p"), range(-1, -SIDE - 1, -1)) + equal(F.col("_n"), range(1, SIDE + 1))).alias("run"),
+        F.when(p[-1].isNotNull(), F.abs(v - _median_of_5(p))).alias("before"),
+        F.when(n[-1].isNotNull(), F.abs(v - _median_of_5(n))).alias("after"),
+        F.abs(v - p[0]).alias("d1"), F.abs(n[0] - 2 * v + p[0]).alias("d2"),
+        (1 + equal(p) + equal(n)).alias("run"),
     ))
 
 
@@ -132,13 +130,13 @@ def flag_faults(readings: DataFrame, catalog: DataFrame, keys: list[str], metric
 
     axes = [F.col("_u"), F.col("d1"), F.col("d2")]
     left = points.withColumn("_u", near)
-    first = shards.join(usual.join(_scales(left, keys, ["d1", "d2"]), keys, "full"), keys)
-    marked = left.join(first, by, "left")
+    first = stage(shards.join(usual.join(_scales(left, keys, ["d1", "d2"]), keys, "full"), keys))
+    marked = left.join(small(first), by, "left")
     marked = marked.withColumn("candidate", outside(list(zip(axes, [F.col("_usual"), F.col("_s0"), F.col("_s1")]))))
     for _ in range(rounds - 1):
         again = _scales(marked.filter(~F.col("candidate")), keys, ["_u", "d1", "d2"])
-        again = shards.join(again.select(*keys, *[F.col(f"_s{i}").alias(f"_r{i}") for i in range(3)]), keys)
-        marked = marked.join(again, by, "left").withColumn("candidate", F.col("candidate") | outside(list(zip(axes, [F.col("_r0"), F.col("_r1"), F.col("_r2")])))).drop("_r0", "_r1", "_r2")
+        again = stage(shards.join(again.select(*keys, *[F.col(f"_s{i}").alias(f"_r{i}") for i in range(3)]), keys))
+        marked = marked.join(small(again), by, "left").withColumn("candidate", F.col("candidate") | outside(list(zip(axes, [F.col("_r0"), F.col("_r1"), F.col("_r2")])))).drop("_r0", "_r1", "_r2")
     exact = F.coalesce((F.col("before") > factor * F.col("_usual")) & (F.col("after") > factor * F.col("_usual")), F.lit(False))
     known = small(catalog.select(F.col(metric).alias("_metric"), "min_valid", "max_valid", "may_repeat").dropDuplicates(["_metric"]))
     named = marked.join(known, F.col(metric) == F.col("_metric"), "left")
