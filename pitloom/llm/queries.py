@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .near_dup import expand, near_duplicates
+from . import near_dup, spans
+from .mixing import mix
+from .packing import fill_report, pack
+from .near_dup import near_duplicates
+from .tokens import with_tokens
+from ..session import stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +26,48 @@ def _news_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expand(*_news_groups(spark, sf_dir)).select("id_a", "id_b")
+    return near_dup.expand(*_news_groups(spark, sf_dir)).select("id_a", "id_b")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found,)}
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per news item: its class of equal texts and its number of links to other classes."""
+    links, members = _news_groups(spark, sf_dir)
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(ends, "rep", "left").select("id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = stage(with_tokens(table(spark, sf_dir, "documents"), ["doc_id"]), arrow_batch=1000)
+    return pack(sizes, table(spark, sf_dir, "pack_specs"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p8_pack(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = stage(with_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"]), arrow_batch=1000)
+    return mix(sizes, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.expand(*spans.shared_spans(table(spark, sf_dir, "documents"))).select("doc_id_a", "doc_id_b")
+
+
+def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return spans.shared_part(documents, *spans.shared_spans(documents))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_groups, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_shared)}
 
 SQL: dict[str, str] = {
     "p3_found": """
@@ -34,4 +77,8 @@ grams AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda
 sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
 shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
 SELECT id_a, id_b FROM shared JOIN sizes x ON x.id = id_a JOIN sizes y ON y.id = id_b WHERE 2 * c >= x.n + y.n - c""",
+    "p10_found": """
+WITH grams AS (SELECT DISTINCT doc_id, substr(text, i, 200) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+common AS (SELECT g FROM grams GROUP BY g HAVING count(*) > 1), hits AS (SELECT doc_id, g FROM grams SEMI JOIN common USING (g))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM hits a JOIN hits b ON a.g = b.g AND a.doc_id < b.doc_id""",
 }
