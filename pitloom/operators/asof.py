@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .shards import SHARD
 
 
@@ -42,10 +43,10 @@ def as_known_at(requests: DataFrame, readings: DataFrame, keys: list[str], attri
 
     changes = records.join(carried, by, "left").filter(F.col("_c").isNull() | (rank(F.col("_r")) > rank(F.col("_c"))))
     changes = changes.select(*by, "_t", "_r", F.row_number().over(order).alias("_version"))
-    versions = changes.select(*by, "_version", "_r").unionByName(carried.select(*by, F.lit(0).alias("_version"), F.col("_c").alias("_r")))
+    versions = stage(changes.unionByName(carried.select(*by, F.lit(None).cast("long").alias("_t"), F.col("_c").alias("_r"), F.lit(0).alias("_version"))))
 
-    narrow = changes.select(*by, "_t", F.lit(1).alias("_change"), F.lit(None).cast(dict(asked.dtypes)["_q"]).alias("_q")).unionByName(asked.select(*by, "_t", F.lit(0).alias("_change"), "_q"))
+    narrow = versions.filter("_version > 0").select(*by, "_t", F.lit(1).alias("_change"), F.lit(None).cast(dict(asked.dtypes)["_q"]).alias("_q")).unionByName(asked.select(*by, "_t", F.lit(0).alias("_change"), "_q"))
     upto = Window.partitionBy(*by).orderBy("_t", F.desc("_change")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = narrow.withColumn("_version", F.coalesce(F.sum("_change").over(upto), F.lit(0)).cast("int")).filter(F.col("_change") == 0)
-    found = numbered.join(versions, [*by, "_version"])
+    found = numbered.join(versions.drop("_t"), [*by, "_version"])
     return found.select(F.col("_q").alias(request_id), *keys, F.col("_r.i").alias(tie), F.timestamp_micros("_r.e").alias(event_ts), F.timestamp_micros("_r.a").alias(as_of_ts), "_r.x.*")
