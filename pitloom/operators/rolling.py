@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shards import SHARD, day_number
+from .shards import SHARD, day_number, mark_nulls, unmark_nulls
 
 #: Totals are kept as decimals, so that taking an expired amount out leaves exactly what was there before it came in.
 AMOUNT = "decimal(38,9)"
@@ -35,8 +35,10 @@ def rolling_totals(daily: DataFrame, keys: list[str], windows: tuple[int, ...] =
     Days on which nothing arrives or expires repeat the state of the day before, empty shards included.
 
     A window that holds an amount of 1e24 or more, or an infinite one, has a NULL sum and mean, its number is
-    right. Repeated (key, day) rows are added up. An empty table gives no rows.
+    right. Repeated (key, day) rows are added up. A NULL in a text key is a series of its own; rows with a NULL in a key
+    of another type are left out. An empty table gives no rows.
     """
+    daily = mark_nulls(daily.select(*keys, "day", "amount", "n", "n_large"), keys)
     last_day = daily.groupBy(*keys).agg(F.max("day").alias("_until"))
     zero, nothing = F.lit(0).cast(AMOUNT), F.lit(0).cast("long")
 
@@ -66,7 +68,8 @@ def rolling_totals(daily: DataFrame, keys: list[str], windows: tuple[int, ...] =
     totals = [x for w in windows for x in (
         F.when(F.col(f"l{w}") == 0, F.col(f"s{w}")).cast("double").alias(f"sum_{w}"), F.col(f"n{w}").alias(f"n_{w}"),
         F.when((F.col(f"l{w}") == 0) & (F.col(f"n{w}") > 0), F.col(f"s{w}").cast("double") / F.col(f"n{w}")).alias(f"mean_{w}"))]
-    return state.filter(F.col("day") <= F.col("_to")).select(*keys, *totals, F.explode(F.sequence("day", "_to")).alias("day"))
+    state = unmark_nulls(state.filter(F.col("day") <= F.col("_to")), keys)
+    return state.select(*keys, *totals, F.explode(F.sequence("day", "_to")).alias("day"))
 
 
 def advance(state: DataFrame, arrivals: DataFrame, expiring: dict[int, DataFrame], keys: list[str], day: int, version: int) -> DataFrame:
@@ -92,6 +95,7 @@ def correct(state: DataFrame, daily: DataFrame, changed: DataFrame, keys: list[s
     the series' old end, are written again; they are worked out from the daily amounts in reach of them.
     """
     longest = max(windows)
+    state, daily, changed = (mark_nulls(x, keys) for x in (state, daily, changed))
     reach = changed.select(*keys, F.explode(F.sequence(F.col("day"), F.col("day") + longest - 1)).alias("day")).distinct()
     needed = reach.select(*keys, F.explode(F.sequence(F.col("day") - longest + 1, F.col("day"))).alias("day")).distinct()
     ends = state.groupBy(*keys).agg(F.max("day").alias("_end"), F.min("day").alias("_begin"))
@@ -105,7 +109,7 @@ def correct(state: DataFrame, daily: DataFrame, changed: DataFrame, keys: list[s
     grown = again.join(ends, keys, "left").filter(F.col("_end").isNull() | (F.col("day") > F.col("_end")) | (F.col("day") < F.col("_begin"))).select(*again.columns)
     touched = again.join(reach, [*keys, "day"], "left_semi")
     fresh = touched.unionByName(grown).distinct().withColumn("version", F.lit(version))
-    return state.unionByName(fresh)
+    return unmark_nulls(state.unionByName(fresh), keys)
 
 
 def latest(state: DataFrame, keys: list[str]) -> DataFrame:

@@ -62,3 +62,15 @@ def with_edges(df: DataFrame, keys: list[str], order: list[str], carried: list[s
         F.slice(after, 1, n).alias("_after"),
     )
     return ranked.join(carry, [*keys, SHARD])
+
+
+_NULL = "\x00null"
+
+
+def mark_nulls(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Text keys with NULL written as a mark, so that joins keep series whose key is NULL; unmark_nulls takes it back."""
+    return df.withColumns({k: F.coalesce(F.col(k), F.lit(_NULL)) for k in keys if dict(df.dtypes)[k] == "string"})
+
+
+def unmark_nulls(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumns({k: F.nullif(F.col(k), F.lit(_NULL)) for k in keys if dict(df.dtypes)[k] == "string"})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small, stage
-from .shards import SHARD, day_number, with_edges
+from .shards import SHARD, day_number, mark_nulls, unmark_nulls, with_edges
 
 #: Steps of a histogram per doubling of the distance.
 STEPS = 8
@@ -68,7 +68,7 @@ def exact_median(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
     """The median of x per group as `median`: exact, and no group is held in memory or sorted as a whole.
 
     Counts per bucket of a histogram (combined before the shuffle) show which buckets hold the two middle ranks; only
-    their rows are sorted. NULLs are left out; groups without a value give no row.
+    their rows are sorted. NULLs are left out; groups without a value or with a NULL key give no row.
     """
     some = rows.filter(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"), _bucket(F.col(x)).alias("_b"))
     counts = some.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -110,11 +110,11 @@ def flag_faults(readings: DataFrame, catalog: DataFrame, keys: list[str], metric
     series' usual difference from both medians. That difference is the ellipsoid's first axis in the first round, so
     every such reading is a candidate. Runs of zero difference give `stuck`, the catalog's bounds `impossible`.
 
-    A series with fewer than eleven readings has no spikes. Where the usual difference is 0, any distance is out. Series
+    A series with fewer than eleven readings has no spikes; a NULL in a text key is a series of its own. Where the usual difference is 0, any distance is out. Series
     are cut into time shards; the scales join on series and shard, so a long series is spread over many tasks.
     """
     row_id = tie[-1]
-    points = phase_space(readings, keys, value, event_ts, tie, shard_days)
+    points = phase_space(mark_nulls(readings.select(*keys, *{event_ts, *tie, value}), keys), keys, value, event_ts, tie, shard_days)
     by = [*keys, SHARD]
     usual = exact_median(points, keys, "before").withColumnRenamed("median", "_usual")
     shards = points.select(*by).distinct()
@@ -141,4 +141,5 @@ def flag_faults(readings: DataFrame, catalog: DataFrame, keys: list[str], metric
     known = small(catalog.select(F.col(metric).alias("_metric"), "min_valid", "max_valid", "may_repeat").dropDuplicates(["_metric"]))
     named = marked.join(known, F.col(metric) == F.col("_metric"), "left")
     bad = F.coalesce(F.col("value") < F.col("min_valid"), F.lit(False)) | F.coalesce(F.col("value") > F.col("max_valid"), F.lit(False))
-    return named.select(row_id, *keys, "value", bad.alias("impossible"), (F.coalesce(~F.col("may_repeat"), F.lit(False)) & (F.col("run") >= stuck)).alias("stuck"), "candidate", (F.col("candidate") & exact).alias("spike"))
+    out = named.select(row_id, *keys, "value", bad.alias("impossible"), (F.coalesce(~F.col("may_repeat"), F.lit(False)) & (F.col("run") >= stuck)).alias("stuck"), "candidate", (F.col("candidate") & exact).alias("spike"))
+    return unmark_nulls(out, keys)
