@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small, stage
+from ..session import BROADCAST_ROWS, small, stage
 from .hashing import U, Rolling, mix
 
 #: Characters that the gear hash of a position covers.
@@ -70,7 +70,8 @@ def cuts(hashes: np.ndarray, width: int, inside: np.ndarray) -> np.ndarray:
 
 
 def chunks(texts: list[str], span: int) -> dict[str, np.ndarray]:
-    """Chunks of a batch of texts: owner, start, size, digest, and a 32-bit hash of each window (-1: outside the text)."""
+    """Chunks of a batch of texts: owner, start, size, digest, a hash of each window (-1: outside the text), and `same`: ranges of
+    the starts of all chunks of the text with the same surroundings, where there are several."""
     owner_of, offset, parts = [], [], []
     for i, t in enumerate(texts):
         step = PIECE - 2 * span
@@ -79,7 +80,7 @@ def chunks(texts: list[str], span: int) -> dict[str, np.ndarray]:
                 owner_of.append(i)
                 offset.append(at)
                 parts.append(t[at : at + PIECE])
-    empty = {k: np.empty(0, dtype=np.int64) for k in ("owner", "start", "size", "digest", *[f"w{k}" for k in range(WINDOWS)])}
+    empty = {k: np.empty(0, dtype=np.int64) for k in ("owner", "start", "size", "digest", *[f"w{k}" for k in range(WINDOWS)], "same")}
     if not parts:
         return empty
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
@@ -109,11 +110,35 @@ def chunks(texts: list[str], span: int) -> dict[str, np.ndarray]:
         w = np.full(len(starts), -1, dtype=np.int64)
         w[fits] = (roll.spans(a[fits], b[fits]) & U(0x7FFFFFFF)).astype(np.int64)
         out[f"w{k}"] = w
-    # equal surroundings as far as a span through the chunk can reach: one place stands for all
+    # equal surroundings as far as a span through the chunk can reach: one place stands for all, which it names
     a, b = np.maximum(starts - room, begin[p]), np.minimum(stops + room, begin[p + 1])
     around = mix(roll.spans(a, b) + out["owner"].astype(U) * U(0x9E3779B97F4A7C15) + (starts - a).astype(U))
-    _, first = np.unique(around, return_index=True)
-    return {k: v[np.sort(first)] for k, v in out.items()}
+    _, first, group, count = np.unique(around, return_index=True, return_inverse=True, return_counts=True)
+    same: dict[int, bytes] = {}
+    if len(first) < len(around):
+        order = np.lexsort((out["start"], group))
+        many = order[count[group[order]] > 1]
+        for places in np.split(many, np.flatnonzero(np.diff(group[many])) + 1):
+            same[int(first[group[places[0]]])] = _ranges(out["start"][places])
+    keep = np.sort(first)
+    out = {k: v[keep] for k, v in out.items()}
+    out["same"] = np.array([same.get(int(i)) for i in keep], dtype=object)
+    return out
+
+
+def _ranges(starts: np.ndarray) -> bytes:
+    """Ascending starts as pairs of first and last start of those that lie closer than a chunk is long."""
+    far = np.flatnonzero(np.diff(starts) > LEAST)
+    return np.stack([starts[np.r_[0, far + 1]], starts[np.r_[far, len(starts) - 1]]], axis=1).astype("<i4").tobytes()
+
+
+def _range_batches(batches):
+    for b in batches:
+        doc, start = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("start").to_numpy(zero_copy_only=False)
+        parts = [np.frombuffer(x, dtype="<i4").reshape(-1, 2) for x in b.column("same").to_pylist()]
+        n = [len(x) for x in parts]
+        both = np.concatenate(parts) if parts else np.empty((0, 2), dtype="<i4")
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, n)), pa.array(np.repeat(start, n)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "start", "lo", "hi"])
 
 
 def _chunk_batches(batches, span: int):
@@ -127,7 +152,8 @@ def _chunk_batches(batches, span: int):
                 hi += 1
             c = chunks(texts[lo:hi], span)
             cols = [pa.array(c["digest"]), pa.array(ids[lo:hi][c["owner"]]), pa.array(c["start"].astype(np.int32)), pa.array(c["size"].astype(np.int16))]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(c[f"w{k}"].astype(np.int32)) for k in range(WINDOWS)], names=["digest", "doc_id", "start", "size", *[f"w{k}" for k in range(WINDOWS)]])
+            cols += [pa.array(c[f"w{k}"].astype(np.int32)) for k in range(WINDOWS)] + [pa.array(c["same"].tolist(), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["digest", "doc_id", "start", "size", *[f"w{k}" for k in range(WINDOWS)], "same"])
             lo = hi
 
 
@@ -158,13 +184,14 @@ def _match_batches(batches, span: int):
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *out], names=[*names, "left", "right"]).filter(pa.array(keep))
 
 
-def shared_spans(documents: DataFrame, span: int = 200) -> tuple[DataFrame, DataFrame]:
+def shared_spans(documents: DataFrame, span: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Places where two texts have at least `span` identical consecutive characters (code points, nothing normalised).
 
-    documents: doc_id long (unique), text. Returns (matches, members). members: doc_id, rep: one row per document of at least
+    documents: doc_id long (unique), text. Returns (matches, members, repeats). members: doc_id, rep: one row per document of at least
     `span` characters; rep is the smallest doc_id with the same text. matches: doc_id_a < doc_id_b (representatives only,
-    copies are not expanded), start_a, start_b, length: common passages, each of at least `span` characters.
-    A passage may come out in several overlapping pieces, together they cover it.
+    copies are not expanded), start_a, start_b, length: common passages, each of at least `span` characters, and at_a, at_b: the
+    chunk by which it was found. A passage may come out in several overlapping pieces, together they cover it.
+    repeats: doc_id, start, lo, hi: a chunk at `start` of a match that occurs with the same surroundings all along lo to hi.
 
     Method: content-defined chunking. A gear rolling hash gives cut points; as they depend on the near text alone, they
     move along with insertions. Chunks are compared by digest. Each span of `span` characters holds a whole chunk that is cut
@@ -183,7 +210,7 @@ def shared_spans(documents: DataFrame, span: int = 200) -> tuple[DataFrame, Data
     texts = whole.join(copies, "doc_id", "left_anti")
 
     windows = [f"w{k}" for k in range(WINDOWS)]
-    cut = texts.mapInArrow(partial(_chunk_batches, span=span), "digest long, doc_id long, start int, size short, " + ", ".join(f"{w} int" for w in windows))
+    cut = texts.mapInArrow(partial(_chunk_batches, span=span), "digest long, doc_id long, start int, size short, " + ", ".join(f"{w} int" for w in windows) + ", same binary")
     same = Window.partitionBy("digest")
     shared = cut.withColumn("_lo", F.min("doc_id").over(same)).withColumn("_hi", F.max("doc_id").over(same)).filter("_lo < _hi").drop("_lo", "_hi")
     shared = stage(shared, arrow_batch=1000)
@@ -196,7 +223,7 @@ def shared_spans(documents: DataFrame, span: int = 200) -> tuple[DataFrame, Data
     room = F.lit(span) - F.col("size")
     first = F.greatest(F.col("start") - room, F.lit(0))
     around = (
-        texts.join(small(at), "doc_id").select("doc_id", "text", F.inline("_at"))
+        texts.join(F.broadcast(at) if places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else at, "doc_id").select("doc_id", "text", F.inline("_at"))
         .select("doc_id", "start", "size", F.substring("text", first + 1, F.col("start") - first).alias("left"), F.substring("text", F.col("start") + 1, F.col("size")).alias("chunk"), F.substring("text", F.col("start") + F.col("size") + 1, room).alias("right"))
     )
     around = stage(around)
@@ -204,11 +231,12 @@ def shared_spans(documents: DataFrame, span: int = 200) -> tuple[DataFrame, Data
     side = lambda x: placed.select(*key, "size", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "start", "left", "chunk", "right")])
     pairs = side("a").join(side("b"), [*key, "size"]).filter("doc_id_a < doc_id_b")
     found = pairs.mapInArrow(partial(_match_batches, span=span), "doc_id_a long, start_a int, doc_id_b long, start_b int, size short, left int, right int")
-    matches = found.select("doc_id_a", (F.col("start_a") - F.col("left")).alias("start_a"), "doc_id_b", (F.col("start_b") - F.col("left")).alias("start_b"), (F.col("left") + F.col("size") + F.col("right")).alias("length")).distinct()
-    return stage(matches, arrow_batch=2000), members
+    matches = found.select("doc_id_a", F.col("start_a").alias("at_a"), F.col("start_b").alias("at_b"), (F.col("start_a") - F.col("left")).alias("start_a"), "doc_id_b", (F.col("start_b") - F.col("left")).alias("start_b"), (F.col("left") + F.col("size") + F.col("right")).alias("length")).distinct()
+    repeats = shared.filter("same IS NOT NULL").select("doc_id", "start", "same").mapInArrow(_range_batches, "doc_id long, start int, lo int, hi int").distinct()
+    return stage(matches, arrow_batch=2000), members, repeats
 
 
-def expand(matches: DataFrame, members: DataFrame) -> DataFrame:
+def expand(matches: DataFrame, members: DataFrame, repeats: DataFrame | None = None) -> DataFrame:
     """All pairs of doc_ids behind matches of representatives; copies of one text are pairs as well."""
     links = matches.select("doc_id_a", "doc_id_b").distinct()
     a, b = members.select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("x")), members.select(F.col("rep").alias("doc_id_b"), F.col("doc_id").alias("y"))
@@ -218,12 +246,16 @@ def expand(matches: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(inside).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
-def shared_part(documents: DataFrame, matches: DataFrame, members: DataFrame) -> DataFrame:
+def shared_part(documents: DataFrame, matches: DataFrame, members: DataFrame, repeats: DataFrame) -> DataFrame:
     """Per document: n_chars, shared_chars (characters that lie in a span shared elsewhere) and shared_part of n_chars.
 
     Overlapping passages count once. A text that has a copy is shared as a whole; a NULL text has 0 characters.
     """
-    either = matches.select(F.col("doc_id_a").alias("rep"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).unionByName(matches.select(F.col("doc_id_b").alias("rep"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e")))
+    side = lambda x: matches.select(F.col(f"doc_id_{x}").alias("rep"), F.col(f"at_{x}").alias("at"), F.col(f"start_{x}").alias("s"), (F.col(f"start_{x}") + F.col("length")).alias("e"))
+    either = side("a").unionByName(side("b")).distinct()
+    again = either.join(repeats.select(F.col("doc_id").alias("rep"), F.col("start").alias("at"), "lo", "hi"), ["rep", "at"])
+    again = again.select("rep", (F.col("lo") - F.col("at") + F.col("s")).alias("s"), (F.col("hi") - F.col("at") + F.col("e")).alias("e"))
+    either = either.select("rep", "s", "e").unionByName(again)
     longest = either.groupBy("rep", "s").agg(F.max("e").alias("e"))
     before = Window.partitionBy("rep").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     covered = longest.withColumn("_m", F.coalesce(F.max("e").over(before), F.lit(0))).groupBy("rep").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "_m"))).alias("_c"))
