@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, small, stage
+from ..session import small, stage
+from .bloom import likely
 from .hashing import U, Rolling, mix
 
 #: Characters that the gear hash of a position covers.
@@ -223,7 +224,7 @@ def shared_spans(documents: DataFrame, span: int = 200) -> tuple[DataFrame, Data
     room = F.lit(span) - F.col("size")
     first = F.greatest(F.col("start") - room, F.lit(0))
     around = (
-        texts.join(F.broadcast(at) if places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else at, "doc_id").select("doc_id", "text", F.inline("_at"))
+        likely(texts, places.select("doc_id"), "doc_id").join(at, "doc_id").select("doc_id", "text", F.inline("_at"))
         .select("doc_id", "start", "size", F.substring("text", first + 1, F.col("start") - first).alias("left"), F.substring("text", F.col("start") + 1, F.col("size")).alias("chunk"), F.substring("text", F.col("start") + F.col("size") + 1, room).alias("right"))
     )
     around = stage(around)

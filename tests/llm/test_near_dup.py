@@ -145,7 +145,6 @@ def covered(rows, span):
 def test_shared_spans(spark, monkeypatch, seed, wide):
     if wide:
         monkeypatch.setattr(spans, "small", lambda df, rows=0: df)
-        monkeypatch.setattr(spans, "BROADCAST_ROWS", 0)
     rows = documents(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string, digest int")
     matches, members, repeats = spans.shared_spans(df)
@@ -184,3 +183,13 @@ def test_rolling_hash_of_spans():
     data = np.frombuffer(b"abcabcabd", dtype=np.uint8)
     h = Rolling(data).spans(np.array([0, 3, 6]), np.array([3, 6, 9]))
     assert h[0] == h[1] != h[2]
+
+
+def test_likely_loses_no_partner(spark):
+    from pitloom.llm.bloom import likely
+
+    df, keys = spark.range(5000), spark.range(0, 5000, 50)
+    for bits, most in ((1 << 20, 120), (64, 5000)):
+        got = {r.id for r in likely(df, keys, "id", bits).collect()}
+        assert {r.id for r in keys.collect()} <= got and len(got) <= most
+    assert likely(df, keys.limit(0), "id").count() == 0
