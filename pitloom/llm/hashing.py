@@ -32,6 +32,17 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out, dtype=U)
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
+def _kept_powers(n: int, base: int) -> np.ndarray:
+    """powers(n, base) out of a table that is kept for the next batches and grows with the largest one."""
+    table = _powers.get(base)
+    if table is None or len(table) < n:
+        table = _powers[base] = powers(max(n, 1 << 16) * 5 // 4, base)
+    return table[:n]
+
+
 class Rolling:
     """Polynomial hashes of any spans of one array, from prefix sums modulo 2**64 over mixed symbols."""
 
@@ -41,13 +52,15 @@ class Rolling:
     def __init__(self, symbols: np.ndarray) -> None:
         n = len(symbols)
         self.sums = np.zeros(n + 1, dtype=U)
-        np.cumsum(mix(symbols.astype(U) + U(1)) * powers(n, self.base), out=self.sums[1:])
-        self.down = powers(n + 1, self.inverse)
+        mixed = _BYTES[symbols] if symbols.dtype == np.uint8 else mix(symbols.astype(U) + U(1))
+        np.cumsum(mixed * _kept_powers(n, self.base), out=self.sums[1:])
+        self.down = _kept_powers(n + 1, self.inverse)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U))
 
 
+_BYTES = mix(np.arange(1, 257, dtype=U))
 _WORD = np.zeros(256, dtype=bool)
 _WORD[ord("a") : ord("z") + 1] = True
 _WORD[ord("0") : ord("9") + 1] = True
@@ -58,9 +71,9 @@ def word_shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray,
 
     Returns (hashes, text index of each hash, number of words of each text). Texts that are too short give no hash.
     """
-    raw = "\n".join(t.lower() for t in texts).encode("utf-8", "replace")
-    lengths = np.fromiter((len(t.lower().encode("utf-8", "replace")) for t in texts), dtype=np.int64, count=len(texts))
-    data = np.frombuffer(raw, dtype=np.uint8)
+    coded = [t.lower().encode("utf-8", "replace") for t in texts]
+    lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+    data = np.frombuffer(b"\n".join(coded), dtype=np.uint8)
     inside = np.zeros(len(data) + 2, dtype=np.int8)
     inside[1:-1] = _WORD[data]
     edge = np.diff(inside)
@@ -80,8 +93,10 @@ def word_shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def distinct_sorted(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of each owner, ascending within the owner."""
-    order = np.lexsort((hashes, owner))
+    """The distinct hashes of each owner, ascending within the owner. Owners are numbers from 0 on."""
+    order = np.argsort(hashes)
+    small = owner.astype(np.uint16) if len(owner) and owner.max() < 1 << 16 else owner  # 16 bits are sorted by radix
+    order = order[np.argsort(small[order], kind="stable")]
     h, o = hashes[order], owner[order]
     if len(h):
         keep = np.ones(len(h), dtype=bool)
