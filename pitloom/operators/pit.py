@@ -52,3 +52,34 @@ def drop_head_of_runs(df: DataFrame, keys: list[str], index: str, head: int) ->
     w = Window.partitionBy(*keys).orderBy(index)
     run = df.withColumn("_run", F.col(index) - F.row_number().over(w))
     return run.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(index))).filter(F.col("_at") > head).drop("_run", "_at")
+
+
+def wide_as_of(readings: DataFrame, dates: DataFrame, keys: list[str], metrics: list[str], as_of_ts: str, order: list[str], value: str = "value", metric: str = "metric", date: str = "date") -> DataFrame:
+    """One row per key and date with the last value of each metric known by then: all metrics in one sorted pass.
+
+    dates: `date` (timestamp), asked of every key. A metric not known yet is NULL. Values never go stale.
+    """
+    cols = [F.when(F.col(metric) == m, F.struct(F.col(value).alias("v"))).alias(f"_m{i}") for i, m in enumerate(metrics)]
+    facts = readings.filter(F.col(metric).isin(metrics)).select(*keys, F.col(as_of_ts).alias("_t"), F.lit(0).alias("_side"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *cols)
+    asked = facts.select(*keys).distinct().crossJoin(dates.select(F.col(date).alias("_t"))).withColumn("_side", F.lit(1))  # the spine that is asked for
+    both = facts.unionByName(asked, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("_t", "_side", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = both.select(*keys, "_t", "_side", *[F.last(f"_m{i}", ignorenulls=True).over(w)["v"].alias(m) for i, m in enumerate(metrics)])
+    return filled.filter("_side = 1").select(*keys, F.col("_t").alias(date), *metrics)
+
+
+def walk_forward_folds(rows: DataFrame, date: str, every: int, minimum: int, purge: int, window: int | None) -> DataFrame:
+    """Folds of a walk-forward fit: fold_date, n_train. A fold trains on the rows at least `purge` days before it (so that no label
+    reaches into it) and, with a window, at most that many days before that; folds with fewer rows than `minimum` drop out.
+
+    Counts per day are summed by running totals, so no pair of fold and row is made.
+    """
+    day = F.unix_date(date)
+    counts = rows.groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    span = counts.agg(F.min("d").alias("a"), F.max("d").alias("b"))
+    every_day = span.select(F.explode(F.sequence("a", "b")).alias("d"), (F.col("a")).alias("a")).join(counts, "d", "left")
+    w = Window.orderBy("d")  # one row a day
+    last = w.rowsBetween(Window.unboundedPreceding, -purge)
+    frame = last if window is None else w.rowsBetween(-purge - window + 1, -purge)
+    folds = every_day.withColumn("n_train", F.coalesce(F.sum("n").over(frame), F.lit(0))).filter(F.col("n").isNotNull() & ((F.col("d") - F.col("a")) % every == 0))
+    return folds.filter(F.col("n_train") >= minimum).select(F.date_add(F.lit("1970-01-01").cast("date"), F.col("d")).alias("fold_date"), "n_train")
