@@ -39,7 +39,7 @@ def as_known_at(requests: DataFrame, readings: DataFrame, keys: list[str], attri
 
     best = records.groupBy(*by).agg(F.max("_r").alias("_r"))
     shards = best.unionByName(asked.select(*by).distinct().withColumn("_r", F.lit(None).cast(best.schema["_r"].dataType))).groupBy(*by).agg(F.max("_r").alias("_r"))
-    carried = shards.select(*by, F.max("_r").over(Window.partitionBy(*keys).orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)).alias("_c")).filter(F.col("_c").isNotNull())
+    carried = stage(shards.select(*by, F.max("_r").over(Window.partitionBy(*keys).orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)).alias("_c")).filter(F.col("_c").isNotNull()))
 
     changes = records.join(carried, by, "left").filter(F.col("_c").isNull() | (rank(F.col("_r")) > rank(F.col("_c"))))
     changes = changes.select(*by, "_t", "_r", F.row_number().over(order).alias("_version"))
