@@ -34,12 +34,13 @@ def regular_grid(
         *keys, F.explode(F.sequence("_day", "_to")).alias("day"), F.col("_day").alias("value_day"), F.col("_v").alias("value"), "_n"
     )
 
-    summary = daily.groupBy(*by).agg(F.min("_day").alias("_first"), F.max(F.struct("_day", "_v")).alias("_last"))
-    carried = F.lag("_last").over(Window.partitionBy(*keys).orderBy(SHARD))
+    # first and last are separate columns, so that both readers of the shuffled rows prune alike and share one shuffle
+    summary = daily.groupBy(*by).agg(F.min("_day").alias("_first"), F.max("_day").alias("_last"), F.max_by("_v", "_day").alias("_v"))
+    along = Window.partitionBy(*keys).orderBy(SHARD)
     between = (
-        summary.withColumn("_in", carried)
-        .filter(F.col("_in._day") + 1 < F.col("_first"))
-        .select(*keys, F.explode(F.sequence(F.col("_in._day") + 1, F.col("_first") - 1)).alias("day"), F.col("_in._day").alias("value_day"), F.col("_in._v").alias("value"), F.lit(0).cast("long").alias("_n"))
+        summary.select(*keys, "_first", (F.lag("_last").over(along)).alias("_in"), F.lag("_v").over(along).alias("_v"))
+        .filter(F.col("_in") + 1 < F.col("_first"))
+        .select(*keys, F.explode(F.sequence(F.col("_in") + 1, F.col("_first") - 1)).alias("day"), F.col("_in").alias("value_day"), F.col("_v").alias("value"), F.lit(0).cast("long").alias("_n"))
     )
     missing = F.col("day") != F.col("value_day")
     return inside.unionByName(between).select(*keys, "day", F.when(missing, F.lit(0)).otherwise(F.col("_n")).cast("long").alias("n_readings"), missing.alias("missing"), "value", "value_day")
