@@ -54,14 +54,14 @@ def drop_head_of_runs(df: DataFrame, keys: list[str], index: str, head: int) ->
     return run.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(index))).filter(F.col("_at") > head).drop("_run", "_at")
 
 
-def wide_as_of(readings: DataFrame, dates: DataFrame, keys: list[str], metrics: list[str], as_of_ts: str, order: list[str], value: str = "value", metric: str = "metric", date: str = "date") -> DataFrame:
+def wide_as_of(readings: DataFrame, dates: Column, keys: list[str], metrics: list[str], as_of_ts: str, order: list[str], value: str = "value", metric: str = "metric", date: str = "date") -> DataFrame:
     """One row per key and date with the last value of each metric known by then: all metrics in one sorted pass.
 
-    dates: `date` (timestamp), asked of every key. A metric not known yet is NULL. Values never go stale.
+    dates: an array of timestamps, asked of every key. A metric not known yet is NULL. Values never go stale.
     """
     cols = [F.when(F.col(metric) == m, F.struct(F.col(value).alias("v"))).alias(f"_m{i}") for i, m in enumerate(metrics)]
     facts = readings.filter(F.col(metric).isin(metrics)).select(*keys, F.col(as_of_ts).alias("_t"), F.lit(0).alias("_side"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *cols)
-    asked = facts.select(*keys).distinct().crossJoin(dates.select(F.col(date).alias("_t"))).withColumn("_side", F.lit(1))  # the spine that is asked for
+    asked = facts.select(*keys).distinct().select(*keys, F.explode(dates).alias("_t"), F.lit(1).alias("_side"))
     both = facts.unionByName(asked, allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("_t", "_side", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = both.select(*keys, "_t", "_side", *[F.last(f"_m{i}", ignorenulls=True).over(w)["v"].alias(m) for i, m in enumerate(metrics)])

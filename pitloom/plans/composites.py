@@ -73,7 +73,7 @@ wide AS (SELECT k.coin, k.source, days.t, max(v) FILTER (metric = 'FlowInExUSD')
 
 def _wide(spark, d):
     rows = usable_readings(table(spark, d, "onchain")).withColumn("coin", clean_name("coin"))
-    dates = spark.sql("SELECT explode(sequence(TIMESTAMP '2023-02-01', TIMESTAMP '2025-12-01', INTERVAL 1 MONTH)) AS date")
+    dates = F.expr("sequence(TIMESTAMP '2023-02-01', TIMESTAMP '2025-12-01', INTERVAL 1 MONTH)")
     return wide_as_of(rows, dates, ["coin", "source"], ["FlowInExUSD", "FlowOutExUSD", "PriceUSD"], "as_of_ts", ["event_ts", "reading_id"])
 
 

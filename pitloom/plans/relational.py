@@ -393,8 +393,8 @@ def agg22(spark, d):
 @add("AGG23_cross_section", f"WITH {BARS}, l AS (SELECT symbol, arg_max(close, date) AS v FROM bars GROUP BY 1) SELECT symbol, round((v - avg(v) OVER ()) / nullif(stddev_samp(v) OVER (), 0), 6) AS z FROM l")
 def agg23(spark, d):
     latest = bars(spark, d).groupBy("symbol").agg(F.max_by("close", "date").alias("v"))
-    one = Window.partitionBy(F.lit(0))  # one row a symbol
-    return latest.select("symbol", F.round(F.try_divide(F.col("v") - F.avg("v").over(one), F.nullif(F.stddev_samp("v").over(one), F.lit(0.0))), 6).alias("z"))
+    moments = latest.agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("sd"))
+    return latest.join(F.broadcast(moments)).select("symbol", F.round(F.try_divide(F.col("v") - F.col("m"), F.nullif("sd", F.lit(0.0))), 6).alias("z"))  # one row
 
 
 @add("AGG25_ensemble_mean", f"SELECT lower(trim(cycle_id)) AS cycle_id, coin, horizon, round(avg(pred_value), 6) AS pred FROM predictions WHERE trim(cycle_id) <> '' GROUP BY ALL")
@@ -419,10 +419,9 @@ def ord02(spark, d):
     return out
 
 
-@add("ORD03_ordered_scan", "SELECT id, coin, row_number() OVER (ORDER BY id DESC, epoch_us(loaded_ts) DESC) AS at FROM (SELECT DISTINCT id, coin, loaded_ts FROM trades)")
+@add("ORD03_ordered_scan", "SELECT DISTINCT id, coin, epoch_us(loaded_ts) AS us FROM trades ORDER BY id DESC, us DESC")
 def ord03(spark, d):
-    rows = table(spark, d, "trades").select("id", "coin", "loaded_ts").distinct()
-    return rows.select("id", "coin", F.row_number().over(Window.orderBy(F.desc("id"), F.desc("loaded_ts"))).cast("long").alias("at"))
+    return table(spark, d, "trades").select("id", "coin", us("loaded_ts").alias("us")).distinct().orderBy(F.desc("id"), F.desc("us"))
 
 
 @add("ORD04_stale", f"SELECT coin, max(epoch_us(as_of_ts)) AS last_us, (epoch_us({_T}) - max(epoch_us(as_of_ts))) / 3600000000 > 36 AS stale FROM unlocks WHERE {E.format('as_of_ts')} <= {_T} GROUP BY 1")

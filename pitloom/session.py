@@ -82,12 +82,18 @@ _staged: list[str] = []
 
 
 @atexit.register
-def release() -> None:
-    """Removes the staged tables of this process; results read from them must have been written before."""
+def release(spark: SparkSession | None = None) -> None:
+    """Removes the staged tables of this process; results read from them must have been written before.
+
+    With a session, folders of any file system are removed; without one, at the end of the process, those on mounted paths.
+    """
     while _staged:
         path = _staged.pop()
-        if path.startswith("file://") or "://" not in path:
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+        if spark is not None:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        elif path.startswith("file:") or "://" not in path:
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import small
+
 METRICS = "event_ts timestamp, as_of_ts timestamp, coin string, metric string, value double, source string, status string"
 NEWS = "event_ts timestamp, as_of_ts timestamp, id long, headline string, content string, summary string, symbols string, source string, author string, url string"
 INDEX = "event_ts timestamp, as_of_ts timestamp, value int, classification string"
@@ -63,7 +65,7 @@ def upsert(spark: SparkSession, batch: DataFrame, root: str, schema: str, keys:
     months = new.select("year", "month").distinct()
     try:
         old = spark.read.schema(schema + ", year int, month int").parquet(root)
-        old = old.join(F.broadcast(months.limit(12_000)), ["year", "month"], "left_semi")  # at most a thousand years
+        old = old.join(small(months, 12_000), ["year", "month"], "left_semi")
         both = new.unionByName(old.withColumn("_new", F.lit(0)).withColumn("_seq", F.lit(0).cast("long")))
     except AnalysisException:
         both = new
