@@ -101,3 +101,49 @@ def block_bootstrap(returns: DataFrame, keys: list[str], order: str, value: str,
 
     kinds = dict(returns.dtypes)
     return returns.select(*keys, order, value).groupBy(*keys).applyInPandas(sample, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", draw int, sharpe double")
+
+
+def permutation_null(rows: DataFrame, keys: list[str], order: str, signal: str, value: str, draws: int, seed: int) -> DataFrame:
+    """Mean of signal * value for shuffled signals: keys, draw, mean; draw -1 is the observed one. Series are daily and small."""
+
+    def shuffle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        s, x = pdf[signal].to_numpy(dtype=float), pdf[value].to_numpy(dtype=float)
+        means = [float((s * x).mean())] + [float((np.random.default_rng([seed, d]).permutation(s) * x).mean()) for d in range(draws)]
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * (draws + 1) for k in keys}, "draw": range(-1, draws), "mean": means})
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*keys, order, signal, value).groupBy(*keys).applyInPandas(shuffle, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", draw int, mean double")
+
+
+def run_length_posterior(x: np.ndarray, hazard: float, longest: int = 400) -> np.ndarray:
+    """Most probable number of values since the last change point, after each value: Bayesian, with a normal distribution of
+    unknown mean and variance in each run (Student's t as predictive). Runs above `longest` are merged into the longest."""
+    mean, kappa, alpha, beta = (np.array([v]) for v in (0.0, 1.0, 1.0, float(np.var(x)) or 1.0))
+    prob, out = np.array([1.0]), np.zeros(len(x), dtype=int)
+    for i, v in enumerate(x):
+        scale = beta * (kappa + 1) / (alpha * kappa)
+        gammas = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in alpha])
+        density = np.exp(gammas - 0.5 * np.log(2 * math.pi * alpha * scale) - (alpha + 0.5) * np.log1p((v - mean) ** 2 / (2 * alpha * scale)))
+        joint = prob * density
+        prob = np.concatenate([[joint.sum() * hazard], joint * (1 - hazard)])
+        prob /= prob.sum() or 1.0
+        beta = np.concatenate([[float(np.var(x)) or 1.0], beta + kappa * (v - mean) ** 2 / (2 * (kappa + 1))])
+        mean = np.concatenate([[0.0], (kappa * mean + v) / (kappa + 1)])
+        kappa, alpha = np.concatenate([[1.0], kappa + 1]), np.concatenate([[1.0], alpha + 0.5])
+        if len(prob) > longest:
+            prob[longest - 1] += prob[longest:].sum()
+            prob, mean, kappa, alpha, beta = (a[:longest] for a in (prob, mean, kappa, alpha, beta))
+        out[i] = int(prob.argmax())
+    return out
+
+
+def change_points(rows: DataFrame, keys: list[str], order: str, value: str, hazard: float = 0.01) -> DataFrame:
+    """keys, order, run: the most probable run length after each row of a daily series (NULL values are skipped)."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=[value]).sort_values(order)
+        return pdf[[*keys, order]].assign(run=run_length_posterior(pdf[value].to_numpy(dtype=float), hazard))
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*keys, order, value).groupBy(*keys).applyInPandas(fit, ", ".join(f"{c} {kinds[c]}" for c in (*keys, order)) + ", run int")

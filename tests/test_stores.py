@@ -10,7 +10,7 @@ from conftest import ts
 from pyspark.sql import functions as F
 
 from pitloom.functions.folds import exponential_mean, smooth_labels
-from pitloom.functions.stats import block_bootstrap, expected_maximum, normal_cdf, purged_splits
+from pitloom.functions.stats import block_bootstrap, change_points, expected_maximum, normal_cdf, permutation_null, purged_splits, run_length_posterior
 from pitloom.functions.windows import Series, pct_change, rolling_mean, zscore
 from pitloom.operators.pit import asof_backward, calendar_gaps, drop_head_of_runs, has_token, known_at, newest
 from pitloom.operators.ticks import fast_buckets, order_imbalance, volume_buckets
@@ -174,3 +174,35 @@ def test_stage_and_small(spark):
     df = spark.range(50).withColumn("s", F.lit("x"))
     assert stage(df).count() == 50 and shared_folder(spark)
     assert "ResolvedHint" in small(df)._jdf.queryExecution().analyzed().toString() and "ResolvedHint" not in small(df, 10)._jdf.queryExecution().analyzed().toString()
+
+
+def test_run_lengths_find_the_change(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(0, 1, 80), rng.normal(8, 1, 60)])
+    run = run_length_posterior(x, 0.01)
+    assert run[79] >= 75 and run[-1] in range(57, 63)
+    assert list(run_length_posterior(np.zeros(0), 0.1)) == [] and len(run_length_posterior(np.zeros(5), 0.1)) == 5
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)] + [(2, 0, None)], "k int, t int, v double")
+    out = change_points(df, ["k"], "t", "v").collect()
+    assert len(out) == 140 and max(r.t for r in out) == 139
+
+
+def test_permutations_keep_the_observed(spark):
+    df = spark.createDataFrame([(1, i, (-1.0) ** i, 0.1 * (-1.0) ** i) for i in range(30)], "k int, t int, s double, r double")
+    out = {r.draw: r["mean"] for r in permutation_null(df, ["k"], "t", "s", "r", 50, 3).collect()}
+    assert abs(out[-1] - 0.1) < 1e-12 and all(out[-1] >= v - 1e-12 for v in out.values()) and len(out) == 51
+
+
+def test_wide_frame_and_folds(spark):
+    from pitloom.operators.pit import walk_forward_folds, wide_as_of
+
+    rows = [("c", "a", 1.0, ts("2024-01-05"), 1), ("c", "a", 2.0, ts("2024-02-05"), 1), ("c", "b", None, ts("2024-01-06"), 1), ("c", "a", 9.0, ts("2024-02-05"), 2)]
+    df = spark.createDataFrame(rows, "k string, metric string, value double, at timestamp, o int")
+    dates = F.array(*[F.lit(ts(x)) for x in ("2024-01-01", "2024-01-05", "2024-03-01")])
+    out = wide_as_of(df, dates, ["k"], ["a", "b", "never"], "at", ["o"]).orderBy("date").collect()
+    assert [(r.a, r.b, r.never) for r in out] == [(None, None, None), (1.0, None, None), (9.0, None, None)]
+    days = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-03-31')) AS day")
+    folds = {r.fold_date.isoformat(): r.n_train for r in walk_forward_folds(days, "day", 10, 5, 7, 20).collect()}
+    assert folds["2024-01-21"] == 14 and folds["2024-03-01"] == 20 and "2024-01-11" not in folds
