@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import small, stage
 from .bloom import likely
+from .copies import representatives
 from .hashing import U, Rolling, mix
 
 #: Characters that the gear hash of a position covers.
@@ -205,8 +206,7 @@ def shared_spans(documents: DataFrame, span: int = 200) -> tuple[DataFrame, Data
     """
     whole = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= span))
     marks = stage(whole.select("doc_id", F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), "text").alias("_g")).distinct())
-    reps = marks.groupBy("_h", "_g").agg(F.min("doc_id").alias("rep"))
-    members = stage(marks.join(reps, ["_h", "_g"]).select("doc_id", "rep"))
+    members = stage(representatives(marks, "doc_id", ["_h", "_g"]))
     copies = small(members.filter("doc_id != rep").select("doc_id").distinct())
     texts = whole.join(copies, "doc_id", "left_anti")
 

@@ -193,3 +193,16 @@ def test_likely_loses_no_partner(spark):
         got = {r.id for r in likely(df, keys, "id", bits).collect()}
         assert {r.id for r in keys.collect()} <= got and len(got) <= most
     assert likely(df, keys.limit(0), "id").count() == 0
+
+
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_representatives_of_hot_groups(spark, hot):
+    from pitloom.llm.copies import representatives
+
+    rows = [(i, "hot" if i % 3 == 0 else f"d{i % 40}") for i in range(200)]
+    got = {r.id: r.rep for r in representatives(spark.createDataFrame(rows, "id long, digest string"), "id", ["digest"], hot).collect()}
+    want = {}
+    for i, d in rows:
+        want.setdefault(d, i)
+    assert got == {i: want[d] for i, d in rows}
+    assert representatives(spark.createDataFrame([], "id long, digest string"), "id", ["digest"]).count() == 0
