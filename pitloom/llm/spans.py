@@ -21,6 +21,8 @@ GEAR = 16
 LEAST, FINE = 48, 16
 #: Texts are worked on in pieces of this many characters, which overlap by more than a span.
 PIECE = 1 << 20
+#: Bits of the filter that keeps chunks of a single text out of the shuffle.
+DIGEST_BITS = 1 << 24
 #: Windows around a chunk of which one must be equal in both texts if a span covers the chunk.
 WINDOWS = 4
 
@@ -212,9 +214,9 @@ def shared_spans(documents: DataFrame, span: int = 200) -> tuple[DataFrame, Data
 
     windows = [f"w{k}" for k in range(WINDOWS)]
     cut = texts.mapInArrow(partial(_chunk_batches, span=span), "digest long, doc_id long, start int, size short, " + ", ".join(f"{w} int" for w in windows) + ", same binary")
-    same = Window.partitionBy("digest")
-    shared = cut.withColumn("_lo", F.min("doc_id").over(same)).withColumn("_hi", F.max("doc_id").over(same)).filter("_lo < _hi").drop("_lo", "_hi")
-    shared = stage(shared, arrow_batch=1000)
+    cut = stage(cut, arrow_batch=1000)
+    several = stage(cut.groupBy("digest").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).filter("_lo < _hi").select("digest"))
+    shared = stage(likely(cut, several, "digest", DIGEST_BITS).join(several, "digest"))  # each digest once; a semi join would be pushed below the filter
     long = shared.select("digest", "doc_id", "start", "size", F.posexplode(F.array(*windows)).alias("k", "w")).filter("w >= 0")
     key = ["digest", "k", "w"]
     wide = long.groupBy(*key).agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).filter("_lo < _hi").select(*key)
