@@ -90,7 +90,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _totals_out(totals: DataFrame) -> DataFrame:
-    short = lambda c: F.when(F.abs(c) < 1e9, F.round(F.round(c, 6), 3))
+    short = lambda c: F.when(F.abs(c) < 1e9, F.round(c, 1))
     return totals.select(*SERIES, day_text(F.col("day")).alias("day"), "n_7", "n_30", short(F.col("sum_7")).alias("sum_7"), short(F.col("sum_30")).alias("sum_30"), short(F.col("mean_7")).alias("mean_7"))
 
 
@@ -170,8 +170,8 @@ daily AS (SELECT coin, metric, source, d, sum(CAST(value AS DECIMAL(38,9))) AS s
 joined AS (SELECT days.*, coalesce(s, 0) AS s, coalesce(n, 0) AS n FROM days LEFT JOIN daily USING (coin, metric, source, d)),
 totals AS (SELECT coin, metric, source, d, CAST(sum(n) OVER w7 AS BIGINT) AS n_7, CAST(sum(n) OVER w30 AS BIGINT) AS n_30, sum(s) OVER w7 AS s7, sum(s) OVER w30 AS s30
   FROM joined WINDOW w7 AS (PARTITION BY coin, metric, source ORDER BY d ROWS 6 PRECEDING), w30 AS (PARTITION BY coin, metric, source ORDER BY d ROWS 29 PRECEDING))
-SELECT coin, metric, source, {_DAY.format("d")} AS day, n_7, n_30, CASE WHEN abs(s7) < 1e9 THEN CAST(round(round(s7, 6), 3) AS DOUBLE) END AS sum_7, CASE WHEN abs(s30) < 1e9 THEN CAST(round(round(s30, 6), 3) AS DOUBLE) END AS sum_30,
-  CASE WHEN n_7 > 0 AND abs(CAST(s7 AS DOUBLE) / n_7) < 1e9 THEN round(round(CAST(s7 AS DOUBLE) / n_7, 6), 3) END AS mean_7 FROM totals"""
+SELECT coin, metric, source, {_DAY.format("d")} AS day, n_7, n_30, CASE WHEN abs(s7) < 1e9 THEN CAST(round(s7, 1) AS DOUBLE) END AS sum_7, CASE WHEN abs(s30) < 1e9 THEN CAST(round(s30, 1) AS DOUBLE) END AS sum_30,
+  CASE WHEN n_7 > 0 AND abs(CAST(s7 AS DOUBLE) / n_7) < 1e9 THEN round(CAST(s7 AS DOUBLE) / n_7, 1) END AS mean_7 FROM totals"""
 
 SQL: dict[str, str] = {
     "p1_found": _STATUS + " SELECT DISTINCT child_table, child_id, period FROM status WHERE NOT ok",
