@@ -17,11 +17,14 @@ from .hashing import U, distinct_sorted, mix, word_shingles
 
 #: Values that a sketch retains, and the bytes kept of each (the highest ones).
 RETAINED, BYTES = 48, 5
-#: An inverted list up to this length gives pairs; a longer one is split by further retained values. Each split of the
-#: lists allows GROWTH times the length, as what shares more values is more likely to be alike.
-LIST, GROWTH = 16, 16
-#: Which values, counted from a position of the sketch, make up a key of 2 and of 4 values. Other keys are values in a row.
-SHAPES = {2: ((0, 1),), 4: ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 4, 5))}
+#: An inverted list up to this length gives all its pairs; of a longer one, only pairs that pass the estimate come out.
+LIST = 16
+#: A longer list is cut into parts of about this many sketches; every two parts are compared by a task of their own.
+BLOCK = 2048
+#: Hot lists are compared together up to this many cells (pairs) at a time, and pairs listed up to STEP at a time.
+CELLS, STEP = 1 << 22, 1 << 21
+#: Which values, counted from a position of the sketch, make up a key of 2 values. Other keys are values in a row.
+SHAPES = {2: ((0, 1),)}
 #: Sets up to this size are also listed under single values, as few neighbours are left to share in them.
 TINY = 24
 #: Texts are hashed in parts of about this many characters.
@@ -226,30 +229,141 @@ def _list_batches(batches, longest: int, final: bool):
         yield from close()
 
 
-def candidates(sketched: DataFrame, longest: int = LIST, retained: int = RETAINED) -> DataFrame:
+def _hot_batches(batches, retained: int):
+    """The sketches in hot lists with the keys of these lists. A position stands for all keys that begin there."""
+    for b in batches:
+        values, start = _unpack(b.column("sketch").to_pylist())
+        size = b.column("n").to_numpy(zero_copy_only=False)
+        mask = b.column("mask").to_numpy(zero_copy_only=False).astype(U)
+        pair, single = (_keys(values, start, size <= retained, shape) for shape in (*SHAPES[2], (0,)))
+        tiny = size[single[1]] <= 2 * TINY
+        key, owner, pos = (np.concatenate([x, y[tiny]]) for x, y in zip(pair, single))
+        hot = (mask[owner] >> pos.astype(U)) & U(1) == U(1)
+        key, owner = distinct_sorted(key[hot], owner[hot])
+        offsets = _groups(owner, b.num_rows).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("sketch"), keys], names=["rep", "sketch", "keys"])
+
+
+def _together(code: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (first < second) that have a code in common, once for each such code, in steps."""
+    order = np.lexsort((row, code))
+    code, row = code[order], row[order]
+    end = np.searchsorted(code, code, side="right")
+    ahead = end - np.arange(len(code)) - 1
+    total = np.concatenate([[0], np.cumsum(ahead)])
+    lo = 0
+    while lo < len(code):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + STEP, side="right")) - 1)
+        first = np.repeat(np.arange(lo, hi), ahead[lo:hi])
+        second = first + 1 + np.arange(len(first)) - (total[first] - total[lo])
+        yield row[first], row[second]
+        lo = hi
+
+
+def _hot_pairs(group, key, part, split, docs, packed, keys, key_start, least: float, retained: int):
+    """Pairs of the rows of each group that pass the estimate. Rows are sorted by group; group counts from 0.
+
+    Nothing that passes is lost: it shares at least least * k of the k values of either sketch, so both have one of these among
+    their k - least * k + 1 values that are rarest in the group. A pair comes out of the least of the hot keys it shares only.
+    """
+    values, start = _unpack(packed)
+    k = np.diff(start)
+    owner = np.repeat(np.arange(len(k)), k)
+    _, code, count = np.unique((group[owner].astype(U) << U(8 * BYTES)) | values, return_inverse=True, return_counts=True)
+    order = np.lexsort((code, count[code], owner))
+    code = code[order]
+    needed = np.maximum(1, np.ceil(least * k - 1e-9)).astype(np.int64)
+    keep = (np.arange(len(code)) - start[owner] < (k - needed + 1)[owner]) & (count[code] > 1)
+    begin = np.searchsorted(group, group)
+    width = (np.searchsorted(group, group, side="right") - begin).astype(np.int64)
+    strip = np.concatenate([[0], np.cumsum(width)])
+    met = np.zeros(strip[-1], dtype=bool)
+    for i, j in _together(code[keep], owner[keep]):
+        met[strip[i] + j - begin[i]] = True
+    holder = np.repeat(np.arange(len(k)), np.diff(key_start))
+    smaller = keys < key[holder]
+    _, code = np.unique(keys[smaller], return_inverse=True)
+    for i, j in _together(group[holder[smaller]].astype(np.int64) * len(keys) + code, holder[smaller]):
+        met[strip[i] + j - begin[i]] = False
+    matrix = _matrix(packed, retained)
+    for lo in range(0, len(met), STEP):
+        cell = np.flatnonzero(met[lo : lo + STEP]) + lo
+        i = np.searchsorted(strip, cell, side="right") - 1
+        j = cell - strip[i] + begin[i]
+        across = (i < j) & (~split[i] | (part[i] != part[j]))
+        i, j = i[across], j[across]
+        for at in range(0, len(i), 50_000):
+            x, y = i[at : at + 50_000], j[at : at + 50_000]
+            good = _alike(np.concatenate([matrix[x], matrix[y]], axis=1), least, retained)
+            if good.any():
+                a, b = docs[x[good]], docs[y[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _block_batches(batches, least: float, retained: int):
+    """Reads postings sorted by key, i, j; each group of equal ones has at most about two parts of a list."""
+    held: pa.Table | None = None
+
+    def new_group(t: pa.Table) -> np.ndarray:
+        columns = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+        return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+
+    def work(t: pa.Table, first: np.ndarray):
+        size = np.diff(np.append(first, t.num_rows))
+        cells = np.cumsum(size.astype(np.int64) ** 2)
+        lo = 0
+        while lo < len(first):
+            hi = max(lo + 1, int(np.searchsorted(cells, (cells[lo - 1] if lo else 0) + CELLS, side="right")))
+            rows = t.slice(first[lo], size[lo:hi].sum()).combine_chunks()
+            group = np.repeat(np.arange(hi - lo), size[lo:hi])
+            lists = rows.column("keys").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            offsets = lists.offsets.to_numpy()
+            number = {c: rows.column(c).to_numpy() for c in ("key", "i", "j", "part", "rep")}
+            yield from _hot_pairs(group, number["key"], number["part"], number["i"] != number["j"], number["rep"], rows.column("sketch").to_pylist(), lists.flatten().to_numpy(), offsets - offsets[0], least, retained)
+            lo = hi
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        first = new_group(t)
+        if len(first) > 1:
+            yield from work(t.slice(0, first[-1]), first[:-1])
+        held = t.slice(first[-1])
+    if held is not None:
+        yield from work(held, np.array([0]))
+
+
+def hot_pairs(sketched: DataFrame, mask: DataFrame, least: float, retained: int = RETAINED, block: int | None = None) -> DataFrame:
+    """Pairs a, b that meet in a hot list and pass the estimate. mask: rep, mask (positions of the keys of its hot lists)."""
+    block = block or BLOCK
+    kind = dict(sketched.dtypes)["rep"]
+    docs = sketched.join(small(mask), "rep").mapInArrow(partial(_hot_batches, retained=retained), f"rep {kind}, sketch binary, keys array<long>")
+    long = docs.select(F.explode("keys").alias("key")).groupBy("key").count().filter(F.col("count") > block)
+    long = small(long.select("key", F.ceil(F.col("count") / block).cast("int").alias("parts")))
+    posted = docs.select("*", F.explode("keys").alias("key")).join(long, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    posted = posted.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    posted = posted.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "sketch", "keys")
+    return posted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_block_batches, least=least, retained=retained), "a long, b long")
+
+
+def candidates(sketched: DataFrame, longest: int = LIST, retained: int = RETAINED, least: float = 0.0) -> DataFrame:
     """Pairs of representatives that share retained values: a, b, shared (weight of the shared lists).
 
-    A list holds the sketches in which the same two retained values follow each other. Lists longer than `longest` give
-    no pairs by themselves: their members are listed again under 4 values, and under 8, 16 and so on, until every list is short
-    enough for its kind; a list under all retained values gives all its pairs. A list under 4 values or more weighs 2.
+    A list holds the sketches in which the same two retained values follow each other. Lists up to `longest` give all their
+    pairs, with weight 1. Of longer lists, all pairs come out that pass the estimate with `least`, with weight 2.
     """
-    depth, mask, levels = 2, None, []
-    while True:
-        final = depth >= retained
-        limit = longest * GROWTH ** (depth.bit_length() - 2)
-        source = sketched if mask is None else sketched.join(small(mask), "rep")
-        posted = source.mapInArrow(partial(_post_batches, depth=depth, masked=mask is not None, retained=retained), "key long, doc long, pos byte")
-        lists = posted.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_list_batches, longest=limit, final=final), "a long, b long, pos byte")
-        level = stage(lists)
-        levels.append(level.filter(F.col("b").isNotNull()).select("a", "b", F.lit(min(2, depth // 2)).alias("weight")))
-        hot = level.filter(F.col("b").isNull())
-        if final or hot.isEmpty():
-            break
+    posted = sketched.mapInArrow(partial(_post_batches, depth=2, masked=False, retained=retained), "key long, doc long, pos byte")
+    lists = posted.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_list_batches, longest=longest, final=False), "a long, b long, pos byte")
+    level = stage(lists)
+    pairs = level.filter(F.col("b").isNotNull()).select("a", "b", F.lit(1).alias("weight"))
+    hot = level.filter(F.col("b").isNull())
+    if not hot.isEmpty():
         mask = hot.groupBy(F.col("a").alias("rep")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pos AS INT))")).alias("mask"))
-        depth = min(depth * 2, retained)
-    pairs = levels[0]
-    for x in levels[1:]:
-        pairs = pairs.unionByName(x)
+        pairs = pairs.unionByName(stage(hot_pairs(sketched, mask, least, retained)).withColumn("weight", F.lit(2)))
     return pairs.groupBy("a", "b").agg(F.sum("weight").alias("shared"))
 
 
@@ -262,18 +376,21 @@ def _matrix(packed: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def _alike(both: np.ndarray, least: float, retained: int) -> np.ndarray:
+    """Union-sketch estimate: of the smallest values of both sketches together, the part that both retain. Sorts in place."""
+    both.sort(axis=1)
+    real = both < np.iinfo(U).max
+    twice = np.zeros(both.shape, dtype=bool)
+    twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(real & ~twice, axis=1)
+    common = np.count_nonzero(twice & (rank <= retained), axis=1)
+    return common >= least * np.minimum(retained, rank[:, -1]) if len(rank) else np.zeros(0, dtype=bool)
+
+
 def _estimate_batches(batches, least: float, retained: int):
-    """Union-sketch estimate: of the smallest values of both sketches together, the part that both retain."""
     for b in batches:
         both = np.concatenate([_matrix(b.column(c).to_pylist(), retained) for c in ("sketch_a", "sketch_b")], axis=1)
-        both.sort(axis=1)
-        real = both < np.iinfo(U).max
-        twice = np.zeros(both.shape, dtype=bool)
-        twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
-        rank = np.cumsum(real & ~twice, axis=1)
-        common = np.count_nonzero(twice & (rank <= retained), axis=1)
-        keep = common >= least * np.minimum(retained, rank[:, -1]) if len(rank) else np.zeros(0, dtype=bool)
-        yield b.filter(pa.array(keep)).select(["a", "b"])
+        yield b.filter(pa.array(_alike(both, least, retained))).select(["a", "b"])
 
 
 def _set_batches(batches, width: int):
@@ -308,15 +425,15 @@ def near_duplicates(texts: DataFrame, width: int = 5, threshold: float = 0.8, mi
     links: a, b, jaccard: pairs of different sets, by their representatives, a < b. Copies are never expanded into pairs.
 
     Method: a sketch retains the smallest values of one hash function over the shingles. Inverted lists of retained values
-    give pairs and their overlap; pairs that share a single list of two values fall out; the estimate from the union of both sketches
-    falls out below 0.55 of the threshold; the rest is verified by the exact similarity of the whole sets. At a
+    give pairs and their overlap; pairs that share a single short list of two values fall out; the estimate from the union of both
+    sketches falls out below 0.55 of the threshold (at once within lists above `longest`, which lose no other pair); the rest is verified by the exact similarity of the whole sets. At a
     similarity of exactly 0.5 a pair is missed with a probability below one in a thousand, above 0.6 below one in 10**5.
 
     NULL ids are left out; a NULL or empty text has no words. Texts of any length are hashed whole. Repeated rows change
     nothing, equal versions are decided by content. An empty table gives two empty results. Extra columns are ignored.
     """
     members, sketched = sketches(texts, width, min_words, retained)
-    pairs = candidates(sketched, longest, retained).filter(F.col("shared") >= 2).select("a", "b")
+    pairs = candidates(sketched, longest, retained, 0.55 * threshold).filter(F.col("shared") >= 2).select("a", "b")
     own = sketched.select("rep", "sketch")
     both = pairs.join(own.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(own.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     close = stage(both.mapInArrow(partial(_estimate_batches, least=0.55 * threshold, retained=retained), "a long, b long"))

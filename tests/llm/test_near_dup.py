@@ -67,6 +67,48 @@ def test_near_duplicates(spark, monkeypatch, width, threshold, least, longest, w
     assert set(got) == pairs_of(rows, width, threshold, least)
 
 
+def variants(n, words=152, seed=11):
+    """Variants of one text, of which each has 3 to 13 words replaced."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(words), rng.randrange(3, 14)):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, 1, " ".join(w)))
+    return rows
+
+
+def exact(rows, width, threshold):
+    """Pairs of rows with the exact similarity, from products of indicator matrices."""
+    number, at = {}, []
+    for i, (_, _, t) in enumerate(rows):
+        w = t.split()
+        at += [(i, number.setdefault(tuple(w[k : k + width]), len(number))) for k in range(len(w) - width + 1)]
+    at = np.array(sorted(set(at)))
+    size = np.bincount(at[:, 0], minlength=len(rows))
+    common = np.bincount(at[:, 1])[at[:, 1]] > 1
+    at = at[common]
+    of = np.unique(at[:, 1], return_inverse=True)[1]
+    m = np.zeros((len(rows), of.max() + 1), dtype=np.float32)
+    m[at[:, 0], of] = 1
+    c = m @ m.T
+    j = c / (size[:, None] + size[None, :] - c)
+    a, b = np.nonzero(np.triu(j >= threshold, 1))
+    return dict(zip(zip(a.tolist(), b.tolist()), j[a, b].tolist()))
+
+
+def test_large_group_keeps_its_pairs(spark, monkeypatch):
+    """Lists that most of a large group are in lose no pairs, in several parts either."""
+    monkeypatch.setattr(near_dup, "BLOCK", 60, raising=False)
+    rows = variants(150)
+    _, sketched = near_dup.sketches(spark.createDataFrame(rows, "id long, version int, text string"), 3, 40)
+    got = near_dup.candidates(sketched, 2).filter("shared >= 2").toPandas()
+    got, want = list(zip(got["a"].tolist(), got["b"].tolist())), set(exact(rows, 3, 0.5))
+    assert len(got) == len(set(got)) and len(want & set(got)) >= 0.9998 * len(want)
+
+
 def test_near_duplicates_of_nothing(spark):
     for rows in ([], [(1, 1, None)], [(1, 1, "one two three four five six")]):
         links, members = near_dup.near_duplicates(spark.createDataFrame(rows, "id long, version int, text string"))
