@@ -9,6 +9,8 @@ from .shards import SHARD, day_number, mark_nulls, unmark_nulls
 
 #: Totals are kept as decimals, so that taking an expired amount out leaves exactly what was there before it came in.
 AMOUNT = "decimal(38,9)"
+#: Terms of a sum: a product or a sum of two AMOUNTs would round to 7 or 8 places to make room for digits in front.
+TERM = "decimal(37,9)"
 #: Amounts from this size on do not fit; see rolling_totals.
 LARGEST = 1e24
 
@@ -26,7 +28,7 @@ def daily_amounts(readings: DataFrame, keys: list[str], value: str = "value", ti
     return current.groupBy(*keys, SHARD, "day").agg(F.sum(amount).cast(AMOUNT).alias("amount"), F.count(F.lit(1)).alias("n"), F.count_if(large).alias("n_large")).drop(SHARD)
 
 
-def rolling_totals(daily: DataFrame, keys: list[str], windows: tuple[int, ...] = (7, 30), shard_days: int = 128) -> DataFrame:
+def rolling_totals(daily: DataFrame, keys: list[str], windows: tuple[int, ...] = (7, 30), shard_days: int = 128, exact: bool = False) -> DataFrame:
     """The rolling state of every series and day from its first to its last: sum, number and mean of each window.
 
     Method: today's total is yesterday's plus today's arrivals minus the day that expires. Every daily amount is
@@ -35,8 +37,8 @@ def rolling_totals(daily: DataFrame, keys: list[str], windows: tuple[int, ...] =
     Days on which nothing arrives or expires repeat the state of the day before, empty shards included.
 
     A window that holds an amount of 1e24 or more, or an infinite one, has a NULL sum and mean, its number is
-    right. Repeated (key, day) rows are added up. A NULL in a text key is a series of its own; rows with a NULL in a key
-    of another type are left out. An empty table gives no rows.
+    right; so has one whose sum is 1e28 or more. Repeated (key, day) rows are added up. A NULL in a text key is a series of its own; rows with a NULL in a key
+    of another type are left out. An empty table gives no rows. exact: sums as the decimals held, not as doubles.
     """
     daily = mark_nulls(daily.select(*keys, "day", "amount", "n", "n_large"), keys)
     last_day = daily.groupBy(*keys).agg(F.max("day").alias("_until"))
@@ -44,9 +46,10 @@ def rolling_totals(daily: DataFrame, keys: list[str], windows: tuple[int, ...] =
 
     def event(day, w: int | None, sign: int):
         fields = [day.alias("day")]
+        amount = F.col("amount") if sign > 0 else -F.col("amount")
         for x in windows:
             on = w is None or w == x
-            fields += [(F.col("amount") * sign if on else zero).cast(AMOUNT).alias(f"s{x}"), (F.col("n") * sign if on else nothing).alias(f"n{x}"), (F.col("n_large") * sign if on else nothing).alias(f"l{x}")]
+            fields += [(amount if on else zero).cast(AMOUNT).alias(f"s{x}"), (F.col("n") * sign if on else nothing).alias(f"n{x}"), (F.col("n_large") * sign if on else nothing).alias(f"l{x}")]
         return F.struct(*fields)
 
     measures = [f"{m}{w}" for w in windows for m in "snl"]
@@ -64,9 +67,9 @@ def rolling_totals(daily: DataFrame, keys: list[str], windows: tuple[int, ...] =
     w = Window.partitionBy(*by).orderBy("day")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     state = changes.select(*by, "day", F.lead("day").over(w).alias("_then"), *[F.sum(m).over(so_far).alias(m) for m in measures]).join(carried, by)
-    state = state.select(*keys, "day", F.least(F.coalesce("_then", "_next", F.col("_until") + 1) - 1, F.col("_until")).alias("_to"), *[(F.col(m) + F.col(f"c_{m}")).cast(AMOUNT if m[0] == "s" else "long").alias(m) for m in measures])
+    state = state.select(*keys, "day", F.least(F.coalesce("_then", "_next", F.col("_until") + 1) - 1, F.col("_until")).alias("_to"), *[(F.col(m).cast(TERM) + F.col(f"c_{m}").cast(TERM)).cast(AMOUNT).alias(m) if m[0] == "s" else (F.col(m) + F.col(f"c_{m}")).cast("long").alias(m) for m in measures])
     totals = [x for w in windows for x in (
-        F.when(F.col(f"l{w}") == 0, F.col(f"s{w}")).cast("double").alias(f"sum_{w}"), F.col(f"n{w}").alias(f"n_{w}"),
+        F.when(F.col(f"l{w}") == 0, F.col(f"s{w}")).cast(AMOUNT if exact else "double").alias(f"sum_{w}"), F.col(f"n{w}").alias(f"n_{w}"),
         F.when((F.col(f"l{w}") == 0) & (F.col(f"n{w}") > 0), F.col(f"s{w}").cast("double") / F.col(f"n{w}")).alias(f"mean_{w}"))]
     state = unmark_nulls(state.filter(F.col("day") <= F.col("_to")), keys)
     return state.select(*keys, *totals, F.explode(F.sequence("day", "_to")).alias("day"))
@@ -83,14 +86,15 @@ def advance(state: DataFrame, arrivals: DataFrame, expiring: dict[int, DataFrame
         out = out.join(gone.select(*keys, F.col("amount").alias(f"_x{w}"), F.col("n").alias(f"_nx{w}")), keys, "full")
     zero = F.lit(0)
     take = lambda old, new, gone: F.coalesce(F.col(old), zero) + F.coalesce(F.col(new), zero) - F.coalesce(F.col(gone), zero)
-    cols = [x for w in expiring for x in (take(f"s{w}", "_a", f"_x{w}").cast(AMOUNT).alias(f"s{w}"), take(f"n{w}", "_na", f"_nx{w}").cast("long").alias(f"n{w}"))]
+    exactly = lambda old, new, gone: (F.coalesce(F.col(old), zero).cast(TERM) + (F.coalesce(F.col(new), zero).cast("decimal(36,9)") - F.coalesce(F.col(gone), zero).cast("decimal(36,9)"))).cast(AMOUNT)
+    cols = [x for w in expiring for x in (exactly(f"s{w}", "_a", f"_x{w}").alias(f"s{w}"), take(f"n{w}", "_na", f"_nx{w}").cast("long").alias(f"n{w}"))]
     return out.select(*keys, F.lit(day).alias("day"), *cols, F.lit(version).alias("version"))
 
 
-def correct(state: DataFrame, daily: DataFrame, changed: DataFrame, keys: list[str], version: int, windows: tuple[int, ...] = (7, 30), shard_days: int = 128) -> DataFrame:
+def correct(state: DataFrame, daily: DataFrame, changed: DataFrame, keys: list[str], version: int, windows: tuple[int, ...] = (7, 30), shard_days: int = 128, exact: bool = False) -> DataFrame:
     """Adds a new version of the days that corrections touch; the older versions stay.
 
-    state: result of rolling_totals with a column `version`. daily: the daily amounts after the correction. changed: keys,
+    state: result of rolling_totals (with the same `exact`) with a column `version`. daily: the daily amounts after the correction. changed: keys,
     day of corrected amounts. Only the days from a changed day on to the longest window after it, and those after
     the series' old end, are written again; they are worked out from the daily amounts in reach of them.
     """
@@ -105,7 +109,7 @@ def correct(state: DataFrame, daily: DataFrame, changed: DataFrame, keys: list[s
     spine = new_ends.join(changed.select(*keys).distinct(), keys, "left_semi")
     bounds = spine.select(*keys, F.explode(F.array("_since", "_until")).alias("day"))
     padded = near.unionByName(bounds.withColumn("amount", F.lit(0).cast(AMOUNT)).withColumn("n", F.lit(0).cast("long")).withColumn("n_large", F.lit(0).cast("long")))
-    again = rolling_totals(padded, keys, windows, shard_days)
+    again = rolling_totals(padded, keys, windows, shard_days, exact)
     grown = again.join(ends, keys, "left").filter(F.col("_end").isNull() | (F.col("day") > F.col("_end")) | (F.col("day") < F.col("_begin"))).select(*again.columns)
     touched = again.join(reach, [*keys, "day"], "left_semi")
     fresh = touched.unionByName(grown).distinct().withColumn("version", F.lit(version))

@@ -98,15 +98,32 @@ def p6_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals_out(rolling_totals(daily_amounts(readings(spark, sf_dir), SERIES), SERIES))
 
 
-def p6_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state built from what came within three days, then corrected by everything that came later."""
+def _corrected(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
     all_rows = readings(spark, sf_dir)
     in_time = all_rows.filter(F.unix_micros("as_of_ts") <= F.unix_micros("event_ts") + 3 * 86_400_000_000)
     first, now = daily_amounts(in_time, SERIES), daily_amounts(all_rows, SERIES)
     same = first.select(*SERIES, "day", F.col("amount").alias("_a"), F.col("n").alias("_n"))
     changed = now.join(same, [*SERIES, "day"], "left").filter(~(F.col("_a").eqNullSafe(F.col("amount")) & F.col("_n").eqNullSafe(F.col("n")))).select(*SERIES, "day")
-    state = rolling_totals(first, SERIES).withColumn("version", F.lit(1))
-    return _totals_out(latest(correct(state, now, changed, SERIES, 2), SERIES))
+    state = rolling_totals(first, SERIES, exact=exact).withColumn("version", F.lit(1))
+    return latest(correct(state, now, changed, SERIES, 2, exact=exact), SERIES)
+
+
+def p6_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state built from what came within three days, then corrected by everything that came later."""
+    return _totals_out(_corrected(spark, sf_dir, False))
+
+
+def _exact_out(totals: DataFrame) -> DataFrame:
+    return totals.select(*SERIES, day_text(F.col("day")).alias("day"), "n_7", "n_30", "sum_7", "sum_30", "mean_7", "mean_30")
+
+
+def p6_rolling_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sums and means of every series and day, none rounded or left out."""
+    return _exact_out(rolling_totals(daily_amounts(readings(spark, sf_dir), SERIES), SERIES, exact=True))
+
+
+def p6_corrected_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exact_out(_corrected(spark, sf_dir, True))
 
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +150,7 @@ def p7_provisional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_grid, p4_found, p5_found, p5_values, p6_found, p6_rolling, p6_corrected, p7_found, p7_counts, p7_provisional)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_grid, p4_found, p5_found, p5_values, p6_found, p6_rolling, p6_corrected, p6_rolling_exact, p6_corrected_exact, p7_found, p7_counts, p7_provisional)
 }
 
 _READINGS = """readings AS (
@@ -173,6 +190,10 @@ totals AS (SELECT coin, metric, source, d, CAST(sum(n) OVER w7 AS BIGINT) AS n_7
 SELECT coin, metric, source, {_DAY.format("d")} AS day, n_7, n_30, CASE WHEN abs(s7) < 1e9 THEN CAST(round(s7, 1) AS DOUBLE) END AS sum_7, CASE WHEN abs(s30) < 1e9 THEN CAST(round(s30, 1) AS DOUBLE) END AS sum_30,
   CASE WHEN n_7 > 0 AND abs(CAST(s7 AS DOUBLE) / n_7) < 1e9 THEN round(CAST(s7 AS DOUBLE) / n_7, 1) END AS mean_7 FROM totals"""
 
+#: A double becomes a decimal by its shortest text, as in Spark; DuckDB's own cast goes by a product of doubles.
+_ROLLING_EXACT = _ROLLING[: _ROLLING.rindex("SELECT coin")].replace("CAST(value AS DECIMAL(38,9))", "CAST(CAST(value AS VARCHAR) AS DECIMAL(38,9))") + f"""SELECT coin, metric, source, {_DAY.format("d")} AS day, n_7, n_30,
+  CAST(s7 AS DECIMAL(38,9)) AS sum_7, CAST(s30 AS DECIMAL(38,9)) AS sum_30, CASE WHEN n_7 > 0 THEN CAST(s7 AS DOUBLE) / n_7 END AS mean_7, CASE WHEN n_30 > 0 THEN CAST(s30 AS DOUBLE) / n_30 END AS mean_30 FROM totals"""
+
 SQL: dict[str, str] = {
     "p1_found": _STATUS + " SELECT DISTINCT child_table, child_id, period FROM status WHERE NOT ok",
     "p1_report": _STATUS + """ SELECT child_table, period, count(*) AS n_references, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok AND NOT in_time AND NOT has_parent) AS n_missing,
@@ -213,6 +234,8 @@ SQL: dict[str, str] = {
       SELECT coin, metric, source, {_DAY.format("d")} AS day FROM (SELECT days.*, o.d AS last FROM days ASOF JOIN obs o USING (coin, metric, source, d)) WHERE d - last >= 7""",
     "p6_rolling": _ROLLING,
     "p6_corrected": _ROLLING,
+    "p6_rolling_exact": _ROLLING_EXACT,
+    "p6_corrected_exact": _ROLLING_EXACT,
     "p7_found": f"WITH {_ARRIVALS} SELECT DISTINCT tbl, record_id, a AS as_of_us FROM arrivals WHERE a > c",
     "p7_counts": f"""WITH {_ARRIVALS},
       good AS (SELECT tbl, p, record_id, arg_max(e, (a, e)) AS e FROM arrivals WHERE a <= c GROUP BY ALL),

@@ -1,0 +1,20 @@
+"""Totals of problem 6 without rounding or gaps."""
+
+from decimal import Decimal
+
+from conftest import READING, ts
+
+from pitloom.operators.rolling import daily_amounts, rolling_totals
+from pitloom.operators.shards import usable_readings
+from pitloom.plans.problems import _exact_out
+
+KEYS = ["coin", "metric", "source"]
+
+
+def test_large_and_small_totals_are_kept(spark):
+    rows = [(i, ts(f"2024-01-0{1 + i % 2}"), ts("2024-01-03"), "btc", m, v, "s", "final", 0, "") for i, (m, v) in enumerate([("big", 4e9), ("big", 0.25), ("low", 0.01), ("low", 0.0125)])]
+    daily = daily_amounts(usable_readings(spark.createDataFrame(rows, READING)), KEYS)
+    got = {(r.metric, r.day): r for r in _exact_out(rolling_totals(daily, KEYS, exact=True)).collect()}
+    big, low = got["big", "2024-01-02"], got["low", "2024-01-02"]
+    assert big.sum_7 == big.sum_30 == Decimal("4000000000.25") and big.mean_30 == 2000000000.125
+    assert low.sum_7 == Decimal("0.0225") and low.mean_30 == 0.01125
