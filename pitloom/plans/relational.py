@@ -35,6 +35,13 @@ def src01(spark, d):
     return rows.groupBy("coin", "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 0).alias("total"))
 
 
+@add("SRC01_scan_all", "SELECT coin, metric, count(*) AS n, count(*) FILTER (isfinite(value)) AS n_usable, sum(CASE WHEN isfinite(value) THEN CAST(CAST(value AS VARCHAR) AS DECIMAL(38,9)) END) AS total FROM onchain GROUP BY ALL")
+def src01_all(spark, d):
+    usable = F.expr("abs(value) < double('Infinity') AND NOT isnan(value)")
+    rows = conform(table(spark, d, "onchain"), METRICS)
+    return rows.groupBy("coin", "metric").agg(F.count(F.lit(1)).alias("n"), F.count_if(usable).alias("n_usable"), F.sum(F.when(usable, F.col("value")).cast("decimal(38,9)")).alias("total"))
+
+
 @add("SRC09_long_metrics", "WITH m AS (SELECT o_orderkey, o_orderdate, 'status' AS metric, TRY_CAST(o_orderstatus AS DOUBLE) AS value FROM orders UNION ALL SELECT o_orderkey, o_orderdate, 'price', CAST(o_totalprice AS DOUBLE) FROM orders UNION ALL SELECT o_orderkey, o_orderdate, 'priority', TRY_CAST(left(o_orderpriority, 1) AS DOUBLE) FROM orders) SELECT o_orderkey, metric, value, epoch_us(o_orderdate + CASE WHEN metric = 'priority' THEN INTERVAL 7 DAY ELSE INTERVAL 1 DAY END) AS known_us FROM m WHERE value IS NOT NULL")
 def src09(spark, d):
     wide = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("t"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("string").alias("price"), F.substring("o_orderpriority", 1, 1).alias("priority"))
