@@ -116,24 +116,22 @@ def permutation_null(rows: DataFrame, keys: list[str], order: str, signal: str,
     return rows.select(*keys, order, signal, value).groupBy(*keys).applyInPandas(shuffle, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", draw int, mean double")
 
 
-def run_length_posterior(x: np.ndarray, hazard: float, longest: int = 400) -> np.ndarray:
+def run_length_posterior(x: np.ndarray, hazard: float) -> np.ndarray:
     """Most probable number of values since the last change point, after each value: Bayesian, with a normal distribution of
-    unknown mean and variance in each run (Student's t as predictive). Runs above `longest` are merged into the longest."""
-    mean, kappa, alpha, beta = (np.array([v]) for v in (0.0, 1.0, 1.0, float(np.var(x)) or 1.0))
+    unknown mean and variance in each run (Student's t as predictive). Runs of all lengths are kept."""
+    spread = float(np.var(x)) or 1.0 if len(x) else 1.0
+    mean, kappa, alpha, beta = (np.array([v]) for v in (0.0, 1.0, 1.0, spread))
+    every = np.array([math.lgamma(1.5 + 0.5 * k) - math.lgamma(1.0 + 0.5 * k) for k in range(len(x) + 1)])
     prob, out = np.array([1.0]), np.zeros(len(x), dtype=int)
     for i, v in enumerate(x):
         scale = beta * (kappa + 1) / (alpha * kappa)
-        gammas = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in alpha])
-        density = np.exp(gammas - 0.5 * np.log(2 * math.pi * alpha * scale) - (alpha + 0.5) * np.log1p((v - mean) ** 2 / (2 * alpha * scale)))
+        density = np.exp(every[: len(alpha)] - 0.5 * np.log(2 * math.pi * alpha * scale) - (alpha + 0.5) * np.log1p((v - mean) ** 2 / (2 * alpha * scale)))
         joint = prob * density
         prob = np.concatenate([[joint.sum() * hazard], joint * (1 - hazard)])
         prob /= prob.sum() or 1.0
-        beta = np.concatenate([[float(np.var(x)) or 1.0], beta + kappa * (v - mean) ** 2 / (2 * (kappa + 1))])
+        beta = np.concatenate([[spread], beta + kappa * (v - mean) ** 2 / (2 * (kappa + 1))])
         mean = np.concatenate([[0.0], (kappa * mean + v) / (kappa + 1)])
         kappa, alpha = np.concatenate([[1.0], kappa + 1]), np.concatenate([[1.0], alpha + 0.5])
-        if len(prob) > longest:
-            prob[longest - 1] += prob[longest:].sum()
-            prob, mean, kappa, alpha, beta = (a[:longest] for a in (prob, mean, kappa, alpha, beta))
         out[i] = int(prob.argmax())
     return out
 
