@@ -23,8 +23,10 @@ LIST = 16
 BLOCK = 2048
 #: Hot lists are compared together up to this many cells (pairs) at a time, and pairs listed up to STEP at a time.
 CELLS, STEP = 1 << 22, 1 << 21
-#: Which values, counted from a position of the sketch, make up a key of 2 values. Other keys are values in a row.
-SHAPES = {2: ((0, 1),)}
+#: A list that is longer is cut by one more value of its sketches, which lies up to GAP places behind the last; keys have up to DEPTH values.
+GAP, DEPTH = 2, 4
+#: Stands for the end of a sketch that retains its whole set.
+END = U(0x5851F42D4C957F2D)
 #: Sets up to this size are also listed under single values, as few neighbours are left to share in them.
 TINY = 24
 #: Texts are hashed in parts of about this many characters.
@@ -107,42 +109,61 @@ def sketches(texts: DataFrame, width: int, min_words: int, retained: int = RETAI
     return members, newest.join(copies, "id", "left_anti").select(F.col("id").alias("rep"), "n", "sketch")
 
 
-def _keys(values: np.ndarray, start: np.ndarray, whole: np.ndarray, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys over several retained values of a sketch. Returns key, sketch index, position of the first value.
+def _keys(values: np.ndarray, start: np.ndarray, owner: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A key over the values at some places of a sketch; bit p of `places` stands for its value p, the place behind its last for END."""
+    size, rest = np.diff(start)[owner], places.copy()
+    key = np.zeros(len(places), dtype=U)
+    while rest.any():
+        lowest = rest & -rest
+        at = np.where(lowest, np.frexp(lowest.astype(np.float64))[1] - 1, 0)
+        value = np.where(at < size, values[np.minimum(start[owner] + at, max(len(values) - 1, 0))], END)
+        key = np.where(lowest != 0, mix(key + value + U(1)), key)
+        rest ^= lowest
+    return key
 
-    A sketch that retains its whole set ends with blanks, so that small sets have keys of any length.
-    """
-    sizes = np.diff(start)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    at, end = np.arange(len(values)), start[1:][owner]
-    keep = whole[owner] | (at + shape[-1] < end)
-    at, end, owner = at[keep], end[keep], owner[keep]
-    key = np.full(len(at), U(len(shape)))
-    for d in shape if len(at) else ():
-        inside = at + d < end
-        key = mix(key + np.where(inside, values[np.minimum(at + d, len(values) - 1)], U(0)) + inside.astype(U))
-    return key, owner, at - start[owner]
-
-
-def _post_batches(batches, depth: int, masked: bool, retained: int):
+
+def _post_batches(batches, retained: int):
+    """Keys of two values in a row. A whole set ends with END, so that small sets have keys as well; tiny ones also have single values."""
+    for b in batches:
+        values, start = _unpack(b.column("sketch").to_pylist())
+        docs = b.column("rep").to_numpy(zero_copy_only=False)
+        n = b.column("n").to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(docs)), np.diff(start))
+        at = np.arange(len(values)) - start[owner]
+        follows = (at + 1 < np.diff(start)[owner]) | (n[owner] <= retained)
+        tiny = n[owner] <= 2 * TINY
+        places = np.concatenate([np.int64(3) << at[follows], np.int64(1) << at[tiny]])
+        owner = np.concatenate([owner[follows], owner[tiny]])
+        yield _postings(_keys(values, start, owner, places), docs[owner], places)
+
+
+def _postings(key: np.ndarray, doc: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(places, pa.int64())], names=["key", "doc", "places"])
+
+
+def _listed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and places of the hot keys of a batch of sketches."""
+    lists = [np.array(x, dtype=np.int64) for x in b.column("places").to_pylist()]
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    return owner, np.concatenate(lists) if lists else np.empty(0, dtype=np.int64)
+
+
+def _longer_batches(batches, retained: int):
+    """The keys of hot lists with one more value each; a key that ends where its sketch ends stays as it is."""
     for b in batches:
         values, start = _unpack(b.column("sketch").to_pylist())
         docs = b.column("rep").to_numpy(zero_copy_only=False)
-        size = b.column("n").to_numpy(zero_copy_only=False)
-        shapes = SHAPES.get(depth, (tuple(range(depth)),))
-        if not masked:
-            shapes = (*shapes, (0,))
-        parts = [_keys(values, start, size <= retained, shape) for shape in shapes]
-        if not masked:
-            k1, o1, p1 = parts[-1]
-            keep = size[o1] <= 2 * TINY
-            parts[-1] = k1[keep], o1[keep], p1[keep]
-        key, owner, pos = (np.concatenate(x) for x in zip(*parts))
-        if masked:
-            mask = b.column("mask").to_numpy(zero_copy_only=False).astype(np.uint64)
-            keep = (mask[owner] >> pos.astype(U)) & U(1) == U(1)
-            key, owner, pos = key[keep], owner[keep], pos[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(docs[owner]), pa.array(pos.astype(np.int8))], names=["key", "doc", "pos"])
+        n = b.column("n").to_numpy(zero_copy_only=False)
+        owner, places = _listed(b)
+        last = np.frexp(places.astype(np.float64))[1].astype(np.int64) - 1
+        size = np.diff(start)[owner]
+        stop = size + (n[owner] <= retained)  # a whole set has END as one more value
+        got = [(owner[last + 1 >= stop], places[last + 1 >= stop])]
+        for gap in range(1, GAP + 1):
+            fits = last + gap < stop
+            got.append((owner[fits], places[fits] | (np.int64(1) << (last[fits] + gap))))
+        owner, places = (np.concatenate(x) for x in zip(*got))
+        yield _postings(_keys(values, start, owner, places), docs[owner], places)
 
 
 def _list_batches(batches, longest: int, final: bool):
@@ -153,8 +174,8 @@ def _list_batches(batches, longest: int, final: bool):
     held: list[tuple[np.ndarray, np.ndarray]] = []
     open_key, count = None, 0
 
-    def out(a, b, pos):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(pos, pa.int8())], names=["a", "b", "pos"])
+    def out(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.zeros(len(a), dtype=np.int64))], names=["a", "b", "places"])
 
     def pairs(docs: np.ndarray):
         docs = np.unique(docs)
@@ -166,17 +187,17 @@ def _list_batches(batches, longest: int, final: bool):
         if len(docs) <= 2000:
             a, b = pairs(docs)
             if len(a):
-                yield out(a, b, np.full(len(a), -1, dtype=np.int8))
+                yield out(a, b)
             return
         docs = np.unique(docs)
         for i in range(len(docs) - 1):
             rest = docs[i + 1 :]
-            yield out(np.full(len(rest), docs[i]), rest, np.full(len(rest), -1, dtype=np.int8))
+            yield out(np.full(len(rest), docs[i]), rest)
 
     for batch in batches:
         key = batch.column("key").to_numpy(zero_copy_only=False)
         doc = batch.column("doc").to_numpy(zero_copy_only=False)
-        pos = batch.column("pos").to_numpy(zero_copy_only=False)
+        pos = batch.column("places").to_numpy(zero_copy_only=False)
         if not len(key):
             continue
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -221,25 +242,20 @@ def _list_batches(batches, longest: int, final: bool):
                             got_b.append(docs[i + 1 :])
         if got_a:
             a, b = np.concatenate(got_a), np.concatenate(got_b)
-            yield out(a, b, np.full(len(a), -1, dtype=np.int8))
+            yield out(a, b)
         if hot_d:
             d = np.concatenate(hot_d)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.nulls(len(d), pa.int64()), pa.array(np.concatenate(hot_p), pa.int8())], names=["a", "b", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.nulls(len(d), pa.int64()), pa.array(np.concatenate(hot_p), pa.int64())], names=["a", "b", "places"])
     if count and (final or count <= longest):
         yield from close()
 
 
-def _hot_batches(batches, retained: int):
-    """The sketches in hot lists with the keys of these lists. A position stands for all keys that begin there."""
+def _hot_batches(batches):
+    """The sketches in hot lists with the keys of these lists."""
     for b in batches:
         values, start = _unpack(b.column("sketch").to_pylist())
-        size = b.column("n").to_numpy(zero_copy_only=False)
-        mask = b.column("mask").to_numpy(zero_copy_only=False).astype(U)
-        pair, single = (_keys(values, start, size <= retained, shape) for shape in (*SHAPES[2], (0,)))
-        tiny = size[single[1]] <= 2 * TINY
-        key, owner, pos = (np.concatenate([x, y[tiny]]) for x, y in zip(pair, single))
-        hot = (mask[owner] >> pos.astype(U)) & U(1) == U(1)
-        key, owner = distinct_sorted(key[hot], owner[hot])
+        owner, places = _listed(b)
+        key, owner = distinct_sorted(_keys(values, start, owner, places), owner)
         offsets = _groups(owner, b.num_rows).astype(np.int32)
         keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64)))
         yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("sketch"), keys], names=["rep", "sketch", "keys"])
@@ -337,13 +353,13 @@ def _block_batches(batches, least: float, retained: int):
         yield from work(held, np.array([0]))
 
 
-def hot_pairs(sketched: DataFrame, mask: DataFrame, least: float, retained: int = RETAINED, block: int | None = None) -> DataFrame:
-    """Pairs a, b that meet in a hot list and pass the estimate. mask: rep, mask (positions of the keys of its hot lists)."""
+def hot_pairs(hot: DataFrame, least: float, retained: int = RETAINED, block: int | None = None) -> DataFrame:
+    """Pairs a, b that meet in a hot list and pass the estimate. hot: rep, sketch, places (those of the keys of its hot lists)."""
     block = block or BLOCK
-    kind = dict(sketched.dtypes)["rep"]
-    docs = sketched.join(small(mask), "rep").mapInArrow(partial(_hot_batches, retained=retained), f"rep {kind}, sketch binary, keys array<long>")
+    kind = dict(hot.dtypes)["rep"]
+    docs = stage(hot.select("rep", "sketch", "places").mapInArrow(_hot_batches, f"rep {kind}, sketch binary, keys array<long>"))
     long = docs.select(F.explode("keys").alias("key")).groupBy("key").count().filter(F.col("count") > block)
-    long = small(long.select("key", F.ceil(F.col("count") / block).cast("int").alias("parts")))
+    long = small(stage(long.select("key", F.ceil(F.col("count") / block).cast("int").alias("parts"))))
     posted = docs.select("*", F.explode("keys").alias("key")).join(long, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     posted = posted.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     posted = posted.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "sketch", "keys")
@@ -354,16 +370,22 @@ def candidates(sketched: DataFrame, longest: int = LIST, retained: int = RETAINE
     """Pairs of representatives that share retained values: a, b, shared (weight of the shared lists).
 
     A list holds the sketches in which the same two retained values follow each other. Lists up to `longest` give all their
-    pairs, with weight 1. Of longer lists, all pairs come out that pass the estimate with `least`, with weight 2.
+    pairs, with weight 1. A longer list says little, so its sketches are listed again under one more value each, of those up to GAP
+    places further; such lists give their pairs with weight 2, and are cut again if they are long. Of long lists of DEPTH
+    values, all pairs come out that pass the estimate with `least`. No list is left out or cut short.
     """
-    posted = sketched.mapInArrow(partial(_post_batches, depth=2, masked=False, retained=retained), "key long, doc long, pos byte")
-    lists = posted.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_list_batches, longest=longest, final=False), "a long, b long, pos byte")
-    level = stage(lists)
-    pairs = level.filter(F.col("b").isNotNull()).select("a", "b", F.lit(1).alias("weight"))
-    hot = level.filter(F.col("b").isNull())
-    if not hot.isEmpty():
-        mask = hot.groupBy(F.col("a").alias("rep")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pos AS INT))")).alias("mask"))
-        pairs = pairs.unionByName(stage(hot_pairs(sketched, mask, least, retained)).withColumn("weight", F.lit(2)))
+    def lists(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        level = stage(posted.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_list_batches, longest=longest, final=False), "a long, b long, places long"))
+        hot = level.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.collect_set("places").alias("places"))  # a sketch has few places
+        return level.filter(F.col("b").isNotNull()).select("a", "b"), sketched.join(hot, "rep")
+
+    posting = "key long, doc long, places long"
+    pairs, hot = lists(sketched.mapInArrow(partial(_post_batches, retained=retained), posting))
+    pairs = pairs.withColumn("weight", F.lit(1))
+    for _ in range(DEPTH - 2):
+        close, hot = lists(hot.mapInArrow(partial(_longer_batches, retained=retained), posting))
+        pairs = pairs.unionByName(close.withColumn("weight", F.lit(2)))
+    pairs = pairs.unionByName(stage(hot_pairs(hot, least, retained)).withColumn("weight", F.lit(2)))
     return pairs.groupBy("a", "b").agg(F.sum("weight").alias("shared"))
 
 
@@ -425,9 +447,9 @@ def near_duplicates(texts: DataFrame, width: int = 5, threshold: float = 0.8, mi
     links: a, b, jaccard: pairs of different sets, by their representatives, a < b. Copies are never expanded into pairs.
 
     Method: a sketch retains the smallest values of one hash function over the shingles. Inverted lists of retained values
-    give pairs and their overlap; pairs that share a single short list of two values fall out; the estimate from the union of both
-    sketches falls out below 0.55 of the threshold (at once within lists above `longest`, which lose no other pair); the rest is verified by the exact similarity of the whole sets. At a
-    similarity of exactly 0.5 a pair is missed with a probability below one in a thousand, above 0.6 below one in 10**5.
+    give pairs and their overlap (see `candidates`); pairs that share a single short list of two values fall out; so do pairs whose estimate
+    from the union of both sketches is below 0.55 of the threshold; the rest is verified by the exact similarity of the whole
+    sets. Which pairs are missed depends on chance, not on the size of a group; the README has measured recall.
 
     NULL ids are left out; a NULL or empty text has no words. Texts of any length are hashed whole. Repeated rows change
     nothing, equal versions are decided by content. An empty table gives two empty results. Extra columns are ignored.

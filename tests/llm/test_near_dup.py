@@ -132,7 +132,7 @@ def test_lists_across_batches(final):
         else:
             hot |= set(docs)
     for size in (1, 3, 7, 80):
-        batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in part], "doc": [d for _, d in part], "pos": pa.array([0] * len(part), pa.int8())}) for part in (post[i : i + size] for i in range(0, 80, size))]
+        batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in part], "doc": [d for _, d in part], "places": pa.array([0] * len(part), pa.int64())}) for part in (post[i : i + size] for i in range(0, 80, size))]
         rows = [(a, b) for out in near_dup._list_batches(batches, 9, final) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())]
         assert {r for r in rows if r[1] is not None} == want
         assert {a for a, b in rows if b is None} == hot
