@@ -6,10 +6,17 @@ is carried over by a window over one summary row a shard, never over the rows th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 SHARD = "_shard"
+DAY_US = 86_400_000_000
+#: A shard with more rows than this, and more than a thousandth of all, is cut further, at borders between SLICES equal slices.
+MOST, HOT_SHARE, SLICES = 1_000_000, 1000, 2048
 
 
 def day_number(ts: Column) -> Column:
@@ -36,6 +43,58 @@ def usable_readings(df: DataFrame, value: str = "value") -> DataFrame:
     return df.filter(ok)
 
 
+class TimeShards:
+    """Shards of (keys, time): of a fixed number of days each, and cut further by volume where they hold many rows.
+
+    tables: (rows, microseconds) of all tables that will be sharded together. The rows of each shard are counted first (combined
+    before the shuffle). A hot one, of which there are fewer than a thousand by definition, is cut into slices between
+    its first and last time, and neighbouring slices are put together up to about the limit each. Shard numbers grow with time
+    within a series, also where a key is NULL. Without `days` a series is one shard unless it is hot. `split`: whether any shard is cut.
+    """
+
+    def __init__(self, tables: list[tuple[DataFrame, Column]], keys: list[str], days: int | None, most: int = MOST) -> None:
+        self.keys, self.days = keys, days
+        rows = reduce(DataFrame.unionByName, [df.select(*keys, t.alias("_us")) for df, t in tables]).withColumn("_base", self._base(F.col("_us")))
+        by = [*keys, "_base"]
+        inside = F.when(F.abs("_us") < 2**60, F.col("_us"))  # marks for times before or after all others don't stretch the slices
+        counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(inside).alias("_lo"), F.max(inside).alias("_hi"))
+        total, largest = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+        limit = max(most, total // HOT_SHARE)
+        self.split = largest > limit
+        if not self.split:
+            return
+        hot = stage(counts.filter(F.col("_n") > limit).withColumn("_lo", F.coalesce("_lo", F.lit(0))).select(*by, "_lo", (F.floor((F.coalesce("_hi", F.lit(0)) - F.col("_lo")) / SLICES) + 1).alias("_wide"), F.greatest(F.lit(limit), F.col("_n") / (SLICES - 1)).alias("_each")))
+        filled = self._match(rows, hot).groupBy(*by, self._slice().alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
+        spine = hot.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+        both = spine.withColumn("_n", F.lit(0).cast("long")).unionByName(filled, allowMissingColumns=True)
+        slices = both.groupBy(*by, "_slice").agg(F.sum("_n").alias("_n"), *[F.max(c).alias(c) for c in ("_lo", "_wide", "_each")])
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cut = slices.withColumn("_part", F.least(F.floor(before / F.col("_each")), F.lit(SLICES - 1)).cast("int"))
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("_slice", "_part"))), lambda x: x["_part"])
+        self.table = stage(cut.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("_lo", "_wide")], parts.alias("_parts")))
+
+    def _base(self, us: Column) -> Column:
+        return F.lit(0).cast("long") if self.days is None else F.floor(us / F.lit(self.days * DAY_US)).cast("long")
+
+    def _slice(self) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor((F.col("_us") - F.col("_lo")) / F.col("_wide")))).cast("int")
+
+    def _match(self, df: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+        """Joins the rows of hot shards; fewer than a thousand rows of about 8 KB, so `hot` may be broadcast."""
+        by = [*self.keys, "_base"]
+        other = hot.select(*[F.col(c).alias(f"_hot{i}") for i, c in enumerate(by)], *[c for c in hot.columns if c not in by])
+        on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_hot{i}")) for i, c in enumerate(by)])
+        return df.join(F.broadcast(other), on, how).drop(*[f"_hot{i}" for i in range(len(by))])
+
+    def add(self, df: DataFrame, us: Column) -> DataFrame:
+        """df with its shard as the column SHARD. Rows with a NULL time get the shard NULL."""
+        rows = df.withColumn("_us", us).withColumn("_base", self._base(F.col("_us")))
+        if not self.split:
+            return rows.withColumn(SHARD, F.col("_base")).drop("_us", "_base")
+        part = F.coalesce(F.get("_parts", self._slice()), F.lit(0))
+        return self._match(rows, self.table, "left").withColumn(SHARD, F.col("_base") * SLICES + part).drop("_us", "_base", "_lo", "_wide", "_parts")
+
+
 def with_edges(df: DataFrame, keys: list[str], order: list[str], carried: list[str], n: int) -> DataFrame:
     """Adds `_before` and `_after`: arrays of structs of `carried`, the n rows just outside the row's shard.
 

@@ -11,9 +11,10 @@ from ..operators.asof import as_known_at
 from ..operators.grid import regular_grid
 from ..operators.late import k_slack, provisional_counts, released_aggregates
 from ..operators.orphans import blank_to_null, month_text, orphan_report, reference_status, union_all
-from ..operators.rolling import correct, daily_amounts, latest, rolling_totals
+from ..operators.rolling import advance, advance_in_steps, changed_days, correct, daily_amounts, latest, present, versioned
 from ..operators.shards import clean_name, day_text, usable_readings
 from ..operators.spikes import flag_faults
+from ..session import stage
 
 SERIES = ["coin", "metric", "source"]
 
@@ -84,46 +85,39 @@ def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_known(spark, sf_dir).select("request_id", *SERIES, "reading_id", F.unix_micros("event_ts").alias("event_us"), "value", "status").distinct()
 
 
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily_amounts(readings(spark, sf_dir), SERIES)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = rolling_totals(daily_amounts(readings(spark, sf_dir), SERIES), SERIES)
-    return totals.filter("n_7 = 0").select(*SERIES, day_text(F.col("day")).alias("day"))
+    state = advance(_daily(spark, sf_dir), SERIES)
+    return state.filter("n7 = 0").select(*SERIES, day_text(F.col("day")).alias("day"))
 
 
-def _totals_out(totals: DataFrame) -> DataFrame:
-    short = lambda c: F.when(F.abs(c) < 1e9, F.round(c, 1))
-    return totals.select(*SERIES, day_text(F.col("day")).alias("day"), "n_7", "n_30", short(F.col("sum_7")).alias("sum_7"), short(F.col("sum_30")).alias("sum_30"), short(F.col("mean_7")).alias("mean_7"))
+def _totals_out(state: DataFrame) -> DataFrame:
+    return present(state, SERIES).select(*SERIES, day_text(F.col("day")).alias("day"), "n_7", "n_30", "sum_7", "sum_30", "mean_7", "mean_30")
 
 
 def p6_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _totals_out(rolling_totals(daily_amounts(readings(spark, sf_dir), SERIES), SERIES))
+    """All sums and means of every series and day, none rounded or left out."""
+    return _totals_out(advance(_daily(spark, sf_dir), SERIES))
 
 
-def _corrected(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
-    all_rows = readings(spark, sf_dir)
-    in_time = all_rows.filter(F.unix_micros("as_of_ts") <= F.unix_micros("event_ts") + 3 * 86_400_000_000)
-    first, now = daily_amounts(in_time, SERIES), daily_amounts(all_rows, SERIES)
-    same = first.select(*SERIES, "day", F.col("amount").alias("_a"), F.col("n").alias("_n"))
-    changed = now.join(same, [*SERIES, "day"], "left").filter(~(F.col("_a").eqNullSafe(F.col("amount")) & F.col("_n").eqNullSafe(F.col("n")))).select(*SERIES, "day")
-    state = rolling_totals(first, SERIES, exact=exact).withColumn("version", F.lit(1))
-    return latest(correct(state, now, changed, SERIES, 2, exact=exact), SERIES)
+def p6_stepped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same totals, maintained in four steps, each from the stored totals of the step before."""
+    daily = stage(_daily(spark, sf_dir))
+    first, last = daily.agg(F.min("day"), F.max("day")).first()
+    cuts = sorted({first + (last - first) * k // 4 for k in (1, 2, 3)}) if first is not None else []
+    return _totals_out(advance_in_steps(daily, SERIES, cuts, keep=stage))
 
 
 def p6_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state built from what came within three days, then corrected by everything that came later."""
-    return _totals_out(_corrected(spark, sf_dir, False))
-
-
-def _exact_out(totals: DataFrame) -> DataFrame:
-    return totals.select(*SERIES, day_text(F.col("day")).alias("day"), "n_7", "n_30", "sum_7", "sum_30", "mean_7", "mean_30")
-
-
-def p6_rolling_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sums and means of every series and day, none rounded or left out."""
-    return _exact_out(rolling_totals(daily_amounts(readings(spark, sf_dir), SERIES), SERIES, exact=True))
-
-
-def p6_corrected_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exact_out(_corrected(spark, sf_dir, True))
+    all_rows = readings(spark, sf_dir)
+    in_time = all_rows.filter(F.unix_micros("as_of_ts") <= F.unix_micros("event_ts") + 3 * 86_400_000_000)
+    first, now = stage(daily_amounts(in_time, SERIES)), stage(daily_amounts(all_rows, SERIES))
+    state = stage(versioned(advance(first, SERIES), 1))
+    return _totals_out(latest(correct(state, now, changed_days(first, now, SERIES), SERIES, 2), SERIES))
 
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +144,7 @@ def p7_provisional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_grid, p4_found, p5_found, p5_values, p6_found, p6_rolling, p6_corrected, p6_rolling_exact, p6_corrected_exact, p7_found, p7_counts, p7_provisional)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_grid, p4_found, p5_found, p5_values, p6_found, p6_rolling, p6_stepped, p6_corrected, p7_found, p7_counts, p7_provisional)
 }
 
 _READINGS = """readings AS (
@@ -182,16 +176,13 @@ arrivals AS (
   UNION ALL
   SELECT DISTINCT 'unlocks', unlock_id, epoch_us(unlock_date), epoch_us(as_of_ts), date_trunc('month', make_timestamp(epoch_us(unlock_date)))::DATE - DATE '1970-01-01',
     (((date_trunc('month', make_timestamp(epoch_us(unlock_date))) + INTERVAL 1 MONTH)::DATE - DATE '1970-01-01') + 10) * 86400000000 FROM unlocks WHERE unlock_date IS NOT NULL AND as_of_ts IS NOT NULL)"""
+#: A double becomes a decimal by its shortest text, as in Spark; DuckDB's own cast goes by a product of doubles.
 _ROLLING = f"""WITH {_READINGS},
-daily AS (SELECT coin, metric, source, d, sum(CAST(value AS DECIMAL(38,9))) AS s, count(*) AS n FROM current GROUP BY ALL), {_SPAN},
+daily AS (SELECT coin, metric, source, d, sum(CAST(CAST(value AS VARCHAR) AS DECIMAL(38,9))) AS s, count(*) AS n FROM current GROUP BY ALL), {_SPAN},
 joined AS (SELECT days.*, coalesce(s, 0) AS s, coalesce(n, 0) AS n FROM days LEFT JOIN daily USING (coin, metric, source, d)),
 totals AS (SELECT coin, metric, source, d, CAST(sum(n) OVER w7 AS BIGINT) AS n_7, CAST(sum(n) OVER w30 AS BIGINT) AS n_30, sum(s) OVER w7 AS s7, sum(s) OVER w30 AS s30
   FROM joined WINDOW w7 AS (PARTITION BY coin, metric, source ORDER BY d ROWS 6 PRECEDING), w30 AS (PARTITION BY coin, metric, source ORDER BY d ROWS 29 PRECEDING))
-SELECT coin, metric, source, {_DAY.format("d")} AS day, n_7, n_30, CASE WHEN abs(s7) < 1e9 THEN CAST(round(s7, 1) AS DOUBLE) END AS sum_7, CASE WHEN abs(s30) < 1e9 THEN CAST(round(s30, 1) AS DOUBLE) END AS sum_30,
-  CASE WHEN n_7 > 0 AND abs(CAST(s7 AS DOUBLE) / n_7) < 1e9 THEN round(CAST(s7 AS DOUBLE) / n_7, 1) END AS mean_7 FROM totals"""
-
-#: A double becomes a decimal by its shortest text, as in Spark; DuckDB's own cast goes by a product of doubles.
-_ROLLING_EXACT = _ROLLING[: _ROLLING.rindex("SELECT coin")].replace("CAST(value AS DECIMAL(38,9))", "CAST(CAST(value AS VARCHAR) AS DECIMAL(38,9))") + f"""SELECT coin, metric, source, {_DAY.format("d")} AS day, n_7, n_30,
+SELECT coin, metric, source, {_DAY.format("d")} AS day, n_7, n_30,
   CAST(s7 AS DECIMAL(38,9)) AS sum_7, CAST(s30 AS DECIMAL(38,9)) AS sum_30, CASE WHEN n_7 > 0 THEN CAST(s7 AS DOUBLE) / n_7 END AS mean_7, CASE WHEN n_30 > 0 THEN CAST(s30 AS DOUBLE) / n_30 END AS mean_30 FROM totals"""
 
 SQL: dict[str, str] = {
@@ -233,9 +224,8 @@ SQL: dict[str, str] = {
     "p6_found": f"""WITH {_READINGS}, {_SPAN}, obs AS (SELECT DISTINCT coin, metric, source, d FROM current)
       SELECT coin, metric, source, {_DAY.format("d")} AS day FROM (SELECT days.*, o.d AS last FROM days ASOF JOIN obs o USING (coin, metric, source, d)) WHERE d - last >= 7""",
     "p6_rolling": _ROLLING,
+    "p6_stepped": _ROLLING,
     "p6_corrected": _ROLLING,
-    "p6_rolling_exact": _ROLLING_EXACT,
-    "p6_corrected_exact": _ROLLING_EXACT,
     "p7_found": f"WITH {_ARRIVALS} SELECT DISTINCT tbl, record_id, a AS as_of_us FROM arrivals WHERE a > c",
     "p7_counts": f"""WITH {_ARRIVALS},
       good AS (SELECT tbl, p, record_id, arg_max(e, (a, e)) AS e FROM arrivals WHERE a <= c GROUP BY ALL),

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: A side of a join is broadcast only if it has at most this many rows; otherwise it is shuffled.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if it has at most this many rows and megabytes; otherwise it is shuffled.
+BROADCAST_ROWS, BROADCAST_MB = 200_000, 32
+FIXED = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date"}
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -96,6 +98,13 @@ def release(spark: SparkSession | None = None) -> None:
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count, which stops early, shows that it has at most `rows` rows; else df."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, mb: int = BROADCAST_MB) -> DataFrame:
+    """df with a broadcast hint if a count shows that it has at most `rows` rows and `mb` megabytes; else df.
+
+    Columns of no fixed width count with their real size. The plan of df runs once for the count: pass a staged or small table.
+    """
+    wide = [c for c, kind in df.dtypes if not kind.startswith(("decimal", "timestamp")) and kind not in FIXED]
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{c}`") if kind in ("string", "binary") else F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c, kind in df.dtypes if c in wide]
+    width = 16 * len(df.columns) + reduce(lambda a, b: a + b, sizes, F.lit(0))
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= mb << 20 else df

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from pitloom.operators.asof import as_known_at
 from pitloom.operators.grid import regular_grid
-from pitloom.operators.rolling import advance, correct, daily_amounts, latest, rolling_totals
+from pitloom.operators.rolling import advance, advance_in_steps, changed_days, correct, daily_amounts, latest, present, rolling_totals, versioned
 from pitloom.operators.shards import usable_readings
 from pitloom.operators.spikes import exact_median, flag_faults
+from pitloom.session import stage
 
 KEYS = ["coin", "metric", "source"]
 DAY0 = ts("2024-01-01")
@@ -87,9 +88,10 @@ def test_grid_is_a_plain_fill(readings, rows, width):
     assert got == want
 
 
-@pytest.mark.parametrize("width", [7, 128])
-def test_rolling_totals_are_window_sums(readings, rows, width):
-    got = {(r.coin, r.metric, r.source, r.day): r for r in rolling_totals(daily_amounts(readings, KEYS, shard_days=width), KEYS, shard_days=width).collect()}
+@pytest.mark.parametrize(("width", "most"), [(7, 10**6), (128, 10**6), (128, 20)])
+def test_rolling_totals_are_window_sums(readings, rows, monkeypatch, width, most):
+    monkeypatch.setattr("pitloom.operators.shards.HOT_SHARE", 10**9)
+    got = {(r.coin, r.metric, r.source, r.day): r for r in rolling_totals(daily_amounts(readings, KEYS, shard_days=width, most=most), KEYS).collect()}
     n = 0
     for k, rs in current(rows).items():
         days = [((r[1] - ts("1970-01-01")).days, r[5]) for r in rs]
@@ -99,28 +101,42 @@ def test_rolling_totals_are_window_sums(readings, rows, width):
                 x = [v for e, v in days if d - w < e <= d]
                 g = got[(*k, d)]
                 assert g[f"n_{w}"] == len(x)
-                assert abs(g[f"sum_{w}"] - sum(x)) < 1e-6
+                assert abs(float(g[f"sum_{w}"]) - sum(x)) < 1e-6
                 assert (g[f"mean_{w}"] is None) == (not x)
     assert n == len(got)
 
 
-def test_one_day_steps_and_corrections_give_the_full_state(readings):
-    daily = daily_amounts(readings.filter("coin = 'c0'"), KEYS)
-    full = rolling_totals(daily, KEYS)
-    days = sorted(r.day for r in daily.collect())
-    d = days[len(days) // 2]
-    at = lambda x: full.filter(F.col("day") == x).select(*KEYS, F.col("sum_7").alias("s7"), F.col("n_7").alias("n7"), F.col("sum_30").alias("s30"), F.col("n_30").alias("n30"))
-    on = lambda x: daily.filter(F.col("day") == x)
-    step = advance(at(d - 1), on(d), {7: on(d - 7), 30: on(d - 30)}, KEYS, d, 2).collect()[0]
-    want = at(d).collect()[0]
-    assert (step.n7, step.n30) == (want.n7, want.n30) and abs(float(step.s7) - want.s7) < 1e-6 and abs(float(step.s30) - want.s30) < 1e-6
-
-    early = daily.filter(F.col("day") % 5 != 0)
-    changed = daily.filter(F.col("day") % 5 == 0).select(*KEYS, "day")
-    state = rolling_totals(early, KEYS).withColumn("version", F.lit(1))
-    fixed = latest(correct(state, daily, changed, KEYS, 2), KEYS)
-    key = lambda r: (r.day, r.n_7, r.n_30, round(r.sum_7, 6), round(r.sum_30, 6))
-    assert sorted(map(key, fixed.collect())) == sorted(map(key, full.collect()))
+def totals(df):
+    return sorted((r.coin or "", r.day, r.n_7, r.n_30, r.sum_7, r.sum_30) for r in present(df, KEYS).collect())
+
+
+@pytest.fixture(scope="module")
+def daily(readings):
+    return stage(daily_amounts(readings, KEYS))
+
+
+def test_steps_give_the_full_state(daily):
+    lo, hi = daily.agg(F.min("day"), F.max("day")).first()
+    assert totals(advance_in_steps(daily, KEYS, [lo - 5, lo + 40, lo + 41, hi + 3], keep=stage)) == totals(advance(daily, KEYS))
+    rest = daily.filter("coin != 'c0' OR day % 97 < 30")  # long pauses, in which all amounts expire
+    assert totals(advance_in_steps(rest, KEYS, [lo + 90, lo + 95], keep=stage)) == totals(advance(rest, KEYS))
+
+
+def test_amounts_of_nine_places_expire_whole(spark):
+    day = lambda d: DAY0 + dt.timedelta(days=d)
+    rows = [(i, day(d), day(d), "c", "m", v, "s", "", 0, "") for i, (d, v) in enumerate([(0, 11.926499967), (3, 0.000000001), (9, 1.5), (40, -2.25)])]
+    got = {r.day - EPOCH_DAY0: (f"{r.sum_7:.9f}", f"{r.sum_30:.9f}") for r in rolling_totals(daily_amounts(spark.createDataFrame(rows, READING), KEYS), KEYS).collect()}
+    assert got[3] == ("11.926499968", "11.926499968") and got[7] == ("0.000000001", "11.926499968") and got[9] == ("1.500000001", "13.426499968") and got[10] == ("1.500000000", "13.426499968")
+    assert got[30] == ("0.000000000", "1.500000001") and got[40] == ("-2.250000000", "-2.250000000")
+
+
+@pytest.mark.parametrize(("keep_old", "keep_new"), [("day % 5 != 0", "day % 7 != 3"), ("coin != 'c0'", "coin != 'c1' AND coin IS NOT NULL"), ("day % 400 < 200", "day % 400 > 150"), ("day % 100 > 30", "day % 300 < 200")])
+def test_corrections_equal_a_rebuild(daily, keep_old, keep_new):
+    old, new = daily.filter(keep_old), daily.filter(keep_new)
+    state = stage(versioned(advance(old, KEYS), 1))
+    fixed = stage(correct(state, new, stage(changed_days(old, new, KEYS)), KEYS, 2))
+    assert totals(latest(fixed, KEYS)) == totals(advance(new, KEYS))
+    assert fixed.filter("version = 1").count() == state.count()
 
 
 def test_amounts_that_do_not_fit(spark):
