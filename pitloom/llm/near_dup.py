@@ -27,8 +27,10 @@ CELLS, STEP = 1 << 22, 1 << 21
 GAP, DEPTH = 2, 4
 #: Stands for the end of a sketch that retains its whole set.
 END = U(0x5851F42D4C957F2D)
-#: Sets up to this size are also listed under single values, as few neighbours are left to share in them.
-TINY = 24
+#: Shared lists that make two sketches candidates.
+SHARED = 3
+#: Sets up to twice this size are also listed under single values, SHARED times, as few neighbours are left to share in them.
+TINY = 12
 #: Texts are hashed in parts of about this many characters.
 PART = 2_000_000
 
@@ -132,9 +134,10 @@ def _post_batches(batches, retained: int):
         at = np.arange(len(values)) - start[owner]
         follows = (at + 1 < np.diff(start)[owner]) | (n[owner] <= retained)
         tiny = n[owner] <= 2 * TINY
-        places = np.concatenate([np.int64(3) << at[follows], np.int64(1) << at[tiny]])
-        owner = np.concatenate([owner[follows], owner[tiny]])
-        yield _postings(_keys(values, start, owner, places), docs[owner], places)
+        places = np.concatenate([np.int64(3) << at[follows], *[np.int64(1) << at[tiny]] * SHARED])
+        owner = np.concatenate([owner[follows], *[owner[tiny]] * SHARED])
+        salt = np.repeat(np.arange(SHARED + 1), [follows.sum(), *[tiny.sum()] * SHARED]).astype(U)
+        yield _postings(_keys(values, start, owner, places) + salt, docs[owner], places)
 
 
 def _postings(key: np.ndarray, doc: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
@@ -370,9 +373,9 @@ def candidates(sketched: DataFrame, longest: int = LIST, retained: int = RETAINE
     """Pairs of representatives that share retained values: a, b, shared (weight of the shared lists).
 
     A list holds the sketches in which the same two retained values follow each other. Lists up to `longest` give all their
-    pairs, with weight 1. A longer list says little, so its sketches are listed again under one more value each, of those up to GAP
-    places further; such lists give their pairs with weight 2, and are cut again if they are long. Of long lists of DEPTH
-    values, all pairs come out that pass the estimate with `least`. No list is left out or cut short.
+    pairs. A longer list says little, so its sketches are listed again under one more value each, of those up to GAP places
+    further, and again if such a list is long. Of long lists of DEPTH values, all pairs come out that pass the estimate
+    with `least`, with the weight SHARED. No list is left out or cut short.
     """
     def lists(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
         level = stage(posted.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_list_batches, longest=longest, final=False), "a long, b long, places long"))
@@ -381,11 +384,10 @@ def candidates(sketched: DataFrame, longest: int = LIST, retained: int = RETAINE
 
     posting = "key long, doc long, places long"
     pairs, hot = lists(sketched.mapInArrow(partial(_post_batches, retained=retained), posting))
-    pairs = pairs.withColumn("weight", F.lit(1))
     for _ in range(DEPTH - 2):
         close, hot = lists(hot.mapInArrow(partial(_longer_batches, retained=retained), posting))
-        pairs = pairs.unionByName(close.withColumn("weight", F.lit(2)))
-    pairs = pairs.unionByName(stage(hot_pairs(hot, least, retained)).withColumn("weight", F.lit(2)))
+        pairs = pairs.unionByName(close)
+    pairs = pairs.withColumn("weight", F.lit(1)).unionByName(stage(hot_pairs(hot, least, retained)).withColumn("weight", F.lit(SHARED)))
     return pairs.groupBy("a", "b").agg(F.sum("weight").alias("shared"))
 
 
@@ -447,7 +449,7 @@ def near_duplicates(texts: DataFrame, width: int = 5, threshold: float = 0.8, mi
     links: a, b, jaccard: pairs of different sets, by their representatives, a < b. Copies are never expanded into pairs.
 
     Method: a sketch retains the smallest values of one hash function over the shingles. Inverted lists of retained values
-    give pairs and their overlap (see `candidates`); pairs that share a single short list of two values fall out; so do pairs whose estimate
+    give pairs and their overlap (see `candidates`); pairs that share fewer than SHARED lists fall out; so do pairs whose estimate
     from the union of both sketches is below 0.55 of the threshold; the rest is verified by the exact similarity of the whole
     sets. Which pairs are missed depends on chance, not on the size of a group; the README has measured recall.
 
@@ -455,11 +457,12 @@ def near_duplicates(texts: DataFrame, width: int = 5, threshold: float = 0.8, mi
     nothing, equal versions are decided by content. An empty table gives two empty results. Extra columns are ignored.
     """
     members, sketched = sketches(texts, width, min_words, retained)
-    pairs = candidates(sketched, longest, retained, 0.55 * threshold).filter(F.col("shared") >= 2).select("a", "b")
-    own = sketched.select("rep", "sketch")
+    pairs = stage(candidates(sketched, longest, retained, 0.55 * threshold).filter(F.col("shared") >= SHARED).select("a", "b"))
+    ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    own = likely(sketched.select("rep", "sketch"), ends, "rep")
     both = pairs.join(own.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(own.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     close = stage(both.mapInArrow(partial(_estimate_batches, least=0.55 * threshold, retained=retained), "a long, b long"))
-    needed = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = stage(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     kinds = dict(texts.dtypes)
     sets = likely(texts.select("id", "version", "text"), needed, "id").join(needed, "id").mapInArrow(partial(_set_batches, width=width), f"id {kinds['id']}, version {kinds['version']}, words binary")
     sets = sets.groupBy("id").agg(F.max_by("words", F.struct("version", "words")).alias("words"))
