@@ -60,6 +60,13 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U))
 
 
+class Rolling2(Rolling):
+    """The same with another base, so that both together have 128 bits."""
+
+    base = int(_MUL)
+    inverse = pow(int(_MUL), -1, 2**64)
+
+
 _BYTES = mix(np.arange(1, 257, dtype=U))
 _WORD = np.zeros(256, dtype=bool)
 _WORD[ord("a") : ord("z") + 1] = True

@@ -63,11 +63,15 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return spans.shared_part(documents, *spans.shared_spans(documents))
+    return spans.shared_part(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_groups, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_shared)}
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its class of equal texts and its number of links to other classes."""
+    return spans.classes(*spans.shared_spans(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_groups, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_shared, p10_classes)}
 
 SQL: dict[str, str] = {
     "p3_found": """

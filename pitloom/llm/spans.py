@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import small, stage
 from .bloom import likely
 from .copies import representatives
-from .hashing import U, Rolling, mix
+from .hashing import U, Rolling, Rolling2, mix
 
 #: Characters that the gear hash of a position covers.
 GEAR = 16
@@ -21,8 +21,8 @@ GEAR = 16
 LEAST, FINE = 48, 16
 #: Texts are worked on in pieces of this many characters, which overlap by more than a span.
 PIECE = 1 << 20
-#: Bits of the filter that keeps chunks of a single text out of the shuffle.
-DIGEST_BITS = 1 << 24
+#: Equal chunks of more documents than this are compared in blocks of about as many, each two of them by a task of their own.
+BLOCK = 1000
 #: Windows around a chunk of which one must be equal in both texts if a span covers the chunk.
 WINDOWS = 4
 
@@ -138,11 +138,11 @@ def _ranges(starts: np.ndarray) -> bytes:
 
 def _range_batches(batches):
     for b in batches:
-        doc, start = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("start").to_numpy(zero_copy_only=False)
+        doc, start, size = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "size"))
         parts = [np.frombuffer(x, dtype="<i4").reshape(-1, 2) for x in b.column("same").to_pylist()]
         n = [len(x) for x in parts]
         both = np.concatenate(parts) if parts else np.empty((0, 2), dtype="<i4")
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, n)), pa.array(np.repeat(start, n)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "start", "lo", "hi"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, n)), pa.array(np.repeat(start, n)), pa.array(np.repeat(size, n)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "start", "size", "lo", "hi"])
 
 
 def _chunk_batches(batches, span: int):
@@ -188,58 +188,96 @@ def _match_batches(batches, span: int):
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *out], names=[*names, "left", "right"]).filter(pa.array(keep))
 
 
-def shared_spans(documents: DataFrame, span: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _window_batches(batches, span: int):
+    """Hashes of all windows of `span` characters that begin in the given ranges (first, last) of a text."""
+    for b in batches:
+        ids, out = b.column("doc_id").to_numpy(zero_copy_only=False), []
+        for i, (text, ranges) in enumerate(zip(b.column("text").to_pylist(), b.column("ranges").to_pylist())):
+            data = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            edge = np.zeros(len(data) + 2, dtype=np.int32)
+            a = np.array([[max(0, r["a"]), min(len(data) - span, r["b"])] for r in ranges]).reshape(-1, 2)
+            a = a[a[:, 0] <= a[:, 1]]
+            np.add.at(edge, a[:, 0], 1)
+            np.add.at(edge, a[:, 1] + 1, -1)
+            at = np.flatnonzero(np.cumsum(edge) > 0)
+            out.append((np.full(len(at), ids[i]), at.astype(np.int32), Rolling(data).spans(at, at + span).view(np.int64), Rolling2(data).spans(at, at + span).view(np.int64)))
+        if out:
+            columns = [pa.array(np.concatenate(c)) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "h", "g"])
+
+
+class SharedChunks:
+    """Chunks that may lie in a span which two documents share. All tables are staged.
+
+    members: doc_id, rep: one row per document of at least `span` characters; rep is the smallest doc_id with the same text.
+    texts: the representatives' texts. places: digest, k, w (a window around the chunk, equal in two texts at least), doc_id,
+    start, size. repeats: doc_id, start, size, lo, hi: a chunk at `start` that occurs with the same surroundings all along lo to hi.
+    """
+
+    def __init__(self, documents: DataFrame, span: int) -> None:
+        whole = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= span))
+        marks = stage(whole.select("doc_id", F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), "text").alias("_g")).distinct())
+        self.members = stage(representatives(marks, "doc_id", ["_h", "_g"]))
+        copies = small(self.members.filter("doc_id != rep").select("doc_id").distinct())
+        self.texts = whole.join(copies, "doc_id", "left_anti")
+
+        windows = [f"w{k}" for k in range(WINDOWS)]
+        cut = self.texts.mapInArrow(partial(_chunk_batches, span=span), "digest long, doc_id long, start int, size short, " + ", ".join(f"{w} int" for w in windows) + ", same binary")
+        cut = stage(cut, arrow_batch=1000)
+        several = stage(cut.groupBy("digest").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).filter("_lo < _hi").select("digest"))
+        shared = stage(likely(cut, several, "digest").join(several, "digest"))  # each digest once; a semi join would be pushed below the filter
+        long = shared.select("digest", "doc_id", "start", "size", F.posexplode(F.array(*windows)).alias("k", "w")).filter("w >= 0")
+        wide = long.groupBy(*KEY).agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).filter("_lo < _hi").select(*KEY)
+        self.places = stage(long.join(wide, KEY))
+        self.repeats = shared.filter("same IS NOT NULL").select("doc_id", "start", "size", "same").mapInArrow(_range_batches, "doc_id long, start int, size short, lo int, hi int").distinct()
+        self.held = stage(self.places.select("doc_id").distinct())
+
+
+#: What chunks have in common that may lie in the same span.
+KEY = ["digest", "k", "w"]
+
+
+def shared_spans(documents: DataFrame, span: int = 200) -> tuple[DataFrame, DataFrame]:
     """Places where two texts have at least `span` identical consecutive characters (code points, nothing normalised).
 
-    documents: doc_id long (unique), text. Returns (matches, members, repeats). members: doc_id, rep: one row per document of at least
+    documents: doc_id long (unique), text. Returns (matches, members). members: doc_id, rep: one row per document of at least
     `span` characters; rep is the smallest doc_id with the same text. matches: doc_id_a < doc_id_b (representatives only,
-    copies are not expanded), start_a, start_b, length: common passages, each of at least `span` characters, and at_a, at_b: the
-    chunk by which it was found. A passage may come out in several overlapping pieces, together they cover it.
-    repeats: doc_id, start, lo, hi: a chunk at `start` of a match that occurs with the same surroundings all along lo to hi.
+    copies are not expanded), start_a, start_b, length: common passages, each of at least `span` characters. A passage may come
+    out in several overlapping pieces; of a chunk that repeats with the same surroundings in a text, one place is given.
 
     Method: content-defined chunking. A gear rolling hash gives cut points; as they depend on the near text alone, they
     move along with insertions. Chunks are compared by digest. Each span of `span` characters holds a whole chunk that is cut
     alike wherever the span occurs, because a cut is the smallest hash of a window rather than a value below a bound.
     Chunks that many texts share are told apart by four windows around the chunk, one of which lies in any span
-    through it; only equal windows make pairs, which are verified character by character.
+    through it; only equal windows make pairs, in blocks where they are many, which are verified character by character.
 
     NULL, empty and short texts have no spans and no row in members. Texts of any length are worked on whole, in pieces that
     overlap. Repeated doc_ids are taken as one if the text is the same. An empty table gives two empty results.
     """
-    whole = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= span))
-    marks = stage(whole.select("doc_id", F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), "text").alias("_g")).distinct())
-    members = stage(representatives(marks, "doc_id", ["_h", "_g"]))
-    copies = small(members.filter("doc_id != rep").select("doc_id").distinct())
-    texts = whole.join(copies, "doc_id", "left_anti")
-
-    windows = [f"w{k}" for k in range(WINDOWS)]
-    cut = texts.mapInArrow(partial(_chunk_batches, span=span), "digest long, doc_id long, start int, size short, " + ", ".join(f"{w} int" for w in windows) + ", same binary")
-    cut = stage(cut, arrow_batch=1000)
-    several = stage(cut.groupBy("digest").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).filter("_lo < _hi").select("digest"))
-    shared = stage(likely(cut, several, "digest", DIGEST_BITS).join(several, "digest"))  # each digest once; a semi join would be pushed below the filter
-    long = shared.select("digest", "doc_id", "start", "size", F.posexplode(F.array(*windows)).alias("k", "w")).filter("w >= 0")
-    key = ["digest", "k", "w"]
-    wide = long.groupBy(*key).agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).filter("_lo < _hi").select(*key)
-    places = stage(long.join(wide, key))
-
-    at = places.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("_at"))
+    c = SharedChunks(documents, span)
+    at = c.places.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("_at"))  # places in one text
     room = F.lit(span) - F.col("size")
     first = F.greatest(F.col("start") - room, F.lit(0))
     around = (
-        likely(texts, places.select("doc_id"), "doc_id").join(at, "doc_id").select("doc_id", "text", F.inline("_at"))
+        likely(c.texts, c.held, "doc_id").join(at, "doc_id").select("doc_id", "text", F.inline("_at"))
         .select("doc_id", "start", "size", F.substring("text", first + 1, F.col("start") - first).alias("left"), F.substring("text", F.col("start") + 1, F.col("size")).alias("chunk"), F.substring("text", F.col("start") + F.col("size") + 1, room).alias("right"))
     )
     around = stage(around)
-    placed = places.join(around, ["doc_id", "start", "size"])
-    side = lambda x: placed.select(*key, "size", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "start", "left", "chunk", "right")])
-    pairs = side("a").join(side("b"), [*key, "size"]).filter("doc_id_a < doc_id_b")
+    key = [*KEY, "size"]
+    many = c.places.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK)
+    many = small(stage(many.select(*key, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_parts"))))
+    parts = F.coalesce("_parts", F.lit(1))
+    split = c.places.join(many, key, "left").withColumn("_part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    split = split.withColumn("_i", F.least("_part", "_other")).withColumn("_j", F.greatest("_part", "_other")).drop("_parts", "_other")
+    placed = split.join(around, ["doc_id", "start", "size"])
+    side = lambda x: placed.select(*key, "_i", "_j", *[F.col(n).alias(f"{n}_{x}") for n in ("_part", "doc_id", "start", "left", "chunk", "right")])
+    pairs = side("a").join(side("b"), [*key, "_i", "_j"]).filter("doc_id_a < doc_id_b AND (_i = _j OR _part_a != _part_b)")
     found = pairs.mapInArrow(partial(_match_batches, span=span), "doc_id_a long, start_a int, doc_id_b long, start_b int, size short, left int, right int")
-    matches = found.select("doc_id_a", F.col("start_a").alias("at_a"), F.col("start_b").alias("at_b"), (F.col("start_a") - F.col("left")).alias("start_a"), "doc_id_b", (F.col("start_b") - F.col("left")).alias("start_b"), (F.col("left") + F.col("size") + F.col("right")).alias("length")).distinct()
-    repeats = shared.filter("same IS NOT NULL").select("doc_id", "start", "same").mapInArrow(_range_batches, "doc_id long, start int, lo int, hi int").distinct()
-    return stage(matches, arrow_batch=2000), members, repeats
+    matches = found.select("doc_id_a", (F.col("start_a") - F.col("left")).alias("start_a"), "doc_id_b", (F.col("start_b") - F.col("left")).alias("start_b"), (F.col("left") + F.col("size") + F.col("right")).alias("length")).distinct()
+    return stage(matches, arrow_batch=2000), c.members
 
 
-def expand(matches: DataFrame, members: DataFrame, repeats: DataFrame | None = None) -> DataFrame:
+def expand(matches: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs of doc_ids behind matches of representatives; copies of one text are pairs as well."""
     links = matches.select("doc_id_a", "doc_id_b").distinct()
     a, b = members.select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("x")), members.select(F.col("rep").alias("doc_id_b"), F.col("doc_id").alias("y"))
@@ -249,21 +287,34 @@ def expand(matches: DataFrame, members: DataFrame, repeats: DataFrame | None = N
     return across.unionByName(inside).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
-def shared_part(documents: DataFrame, matches: DataFrame, members: DataFrame, repeats: DataFrame) -> DataFrame:
+def classes(matches: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the same text), n_links (other classes with a common span), of documents of at least a span."""
+    links = matches.select("doc_id_a", "doc_id_b").distinct()
+    ends = links.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(ends, "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def shared_part(documents: DataFrame, span: int = 200) -> DataFrame:
     """Per document: n_chars, shared_chars (characters that lie in a span shared elsewhere) and shared_part of n_chars.
 
     Overlapping passages count once. A text that has a copy is shared as a whole; a NULL text has 0 characters.
+
+    Method: the chunks of shared_spans, but no pairs. All windows of `span` characters around a chunk that may be shared are
+    hashed (128 bits); one that occurs in two texts covers its characters. So a passage that a million documents share costs
+    a million rows for each of its windows, counted before the shuffle, and no product.
     """
-    side = lambda x: matches.select(F.col(f"doc_id_{x}").alias("rep"), F.col(f"at_{x}").alias("at"), F.col(f"start_{x}").alias("s"), (F.col(f"start_{x}") + F.col("length")).alias("e"))
-    either = side("a").unionByName(side("b")).distinct()
-    again = either.join(repeats.select(F.col("doc_id").alias("rep"), F.col("start").alias("at"), "lo", "hi"), ["rep", "at"])
-    again = again.select("rep", (F.col("lo") - F.col("at") + F.col("s")).alias("s"), (F.col("hi") - F.col("at") + F.col("e")).alias("e"))
-    either = either.select("rep", "s", "e").unionByName(again)
-    longest = either.groupBy("rep", "s").agg(F.max("e").alias("e"))
-    before = Window.partitionBy("rep").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    covered = longest.withColumn("_m", F.coalesce(F.max("e").over(before), F.lit(0))).groupBy("rep").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "_m"))).alias("_c"))
-    copied = members.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    per_doc = members.join(covered, "rep", "left").join(copied, "rep", "left").groupBy("doc_id").agg(F.max("_c").alias("_c"), F.max("_n").alias("_n"))
+    c = SharedChunks(documents, span)
+    begin = F.struct((F.col("start") + F.col("size") - span).alias("a"), F.col("start").alias("b"))
+    again = c.repeats.join(c.places.select("doc_id", "start").distinct(), ["doc_id", "start"]).select("doc_id", F.struct((F.col("lo") + F.col("size") - span).alias("a"), F.col("hi").alias("b")).alias("r"))
+    ranges = c.places.select("doc_id", begin.alias("r")).unionByName(again).groupBy("doc_id").agg(F.collect_set("r").alias("ranges"))  # places in one text
+    windows = likely(c.texts, c.held, "doc_id").join(ranges, "doc_id").select("doc_id", "text", "ranges").mapInArrow(partial(_window_batches, span=span), "doc_id long, at int, h long, g long")
+    windows = stage(windows, arrow_batch=200)
+    owned = stage(windows.groupBy("h", "g").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).filter("_lo < _hi").select("h", "g"))
+    covers = likely(windows, owned, "h").join(owned, ["h", "g"]).select("doc_id", "at").distinct()
+    step = F.col("at") - F.lag("at").over(Window.partitionBy("doc_id").orderBy("at"))
+    covered = covers.withColumn("_c", F.least(F.lit(span), F.coalesce(step, F.lit(span)))).groupBy(F.col("doc_id").alias("rep")).agg(F.sum("_c").alias("_c"))
+    copied = c.members.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    per_doc = c.members.join(covered, "rep", "left").join(copied, "rep", "left").groupBy("doc_id").agg(F.max("_c").alias("_c"), F.max("_n").alias("_n"))
     chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     out = documents.select("doc_id", chars.alias("n_chars")).join(per_doc, "doc_id", "left")
     amount = F.when(F.col("_n") > 1, F.col("n_chars")).otherwise(F.coalesce("_c", F.lit(0)))

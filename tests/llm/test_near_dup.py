@@ -104,7 +104,7 @@ def test_large_group_keeps_its_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 60, raising=False)
     rows = variants(150)
     _, sketched = near_dup.sketches(spark.createDataFrame(rows, "id long, version int, text string"), 3, 40)
-    got = near_dup.candidates(sketched, 2).filter("shared >= 2").toPandas()
+    got = near_dup.candidates(sketched, 2).filter(f"shared >= {getattr(near_dup, 'SHARED', 2)}").toPandas()
     got, want = list(zip(got["a"].tolist(), got["b"].tolist())), set(exact(rows, 3, 0.5))
     assert len(got) == len(set(got)) and len(want & set(got)) >= 0.9998 * len(want)
 
@@ -186,17 +186,24 @@ def covered(rows, span):
 @pytest.mark.parametrize("wide", [False, True])
 def test_shared_spans(spark, monkeypatch, seed, wide):
     if wide:
+        monkeypatch.setattr(spans, "BLOCK", 3)
         monkeypatch.setattr(spans, "small", lambda df, rows=0: df)
     rows = documents(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string, digest int")
-    matches, members, repeats = spans.shared_spans(df)
+    matches, members = spans.shared_spans(df)
     got = [tuple(r) for r in spans.expand(matches, members).collect()]
     assert len(got) == len(set(got)) and set(got) == common_pairs(rows, 200)
     assert all(r.length >= 200 for r in matches.collect())
     text = {i: t for i, t, _ in rows}
     for r in matches.collect():
         assert text[r.doc_id_a][r.start_a : r.start_a + r.length] == text[r.doc_id_b][r.start_b : r.start_b + r.length]
-    assert {r.doc_id: r.shared_chars for r in spans.shared_part(df, matches, members, repeats).collect()} == covered(rows, 200)
+    assert {r.doc_id: r.shared_chars for r in spans.shared_part(df).collect()} == covered(rows, 200)
+    texts = {i: t for i, t, _ in rows if t and len(t) >= 200}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in spans.classes(matches, members).collect()}
+    for i, t in texts.items():
+        same = {j for j, u in texts.items() if u == t}
+        others = {texts[b if a in same else a] for a, b in common_pairs(rows, 200) if (a in same) != (b in same)}
+        assert got[i] == (min(same), len(others))
 
 
 def test_pieces_of_long_texts(spark, monkeypatch):
@@ -216,9 +223,9 @@ def test_pieces_of_long_texts(spark, monkeypatch):
 
 def test_no_documents(spark):
     df = spark.createDataFrame([(1, None), (2, "short")], "doc_id long, text string")
-    matches, members, repeats = spans.shared_spans(df)
+    matches, members = spans.shared_spans(df)
     assert matches.count() == 0 and members.count() == 0
-    assert {r.doc_id: (r.n_chars, r.shared_chars, r.shared_part) for r in spans.shared_part(df, matches, members, repeats).collect()} == {1: (0, 0, 0.0), 2: (5, 0, 0.0)}
+    assert {r.doc_id: (r.n_chars, r.shared_chars, r.shared_part) for r in spans.shared_part(df).collect()} == {1: (0, 0, 0.0), 2: (5, 0, 0.0)}
 
 
 def test_rolling_hash_of_spans():
@@ -227,14 +234,15 @@ def test_rolling_hash_of_spans():
     assert h[0] == h[1] != h[2]
 
 
-def test_likely_loses_no_partner(spark):
-    from pitloom.llm.bloom import likely
+def test_likely_loses_no_partner(spark, monkeypatch):
+    from pitloom.llm import bloom
 
     df, keys = spark.range(5000), spark.range(0, 5000, 50)
-    for bits, most in ((1 << 20, 120), (64, 5000)):
-        got = {r.id for r in likely(df, keys, "id", bits).collect()}
+    for bits, most in ((1 << 26, 1000), (256, 3000), (64, 5000)):  # the last is too small to be of use
+        monkeypatch.setattr(bloom, "MOST", bits)
+        got = {r.id for r in bloom.likely(df, keys, "id").collect()}
         assert {r.id for r in keys.collect()} <= got and len(got) <= most
-    assert likely(df, keys.limit(0), "id").count() == 0
+    assert bloom.likely(df, keys.limit(0), "id").count() == 0
 
 
 @pytest.mark.parametrize("hot", [3, 1000])
