@@ -54,11 +54,10 @@ class Packer:
 
 
 def _pack_group(key, rows: pd.DataFrame, open_bins: int) -> pd.DataFrame:
-    capacity = int(key[1])
-    packer = Packer(capacity, open_bins)
+    packer = Packer(int(key[2]), open_bins)
     rows = rows.sort_values(["_order", "doc_id", "piece"], kind="stable")
     rows["bin"] = [packer.add(int(n)) for n in rows["tokens"]]
-    return rows[["spec_name", "doc_id", "piece", "tokens", "_shard", "bin"]]
+    return rows[["spec_name", "capacity_tokens", "doc_id", "piece", "tokens", "_shard", "bin"]]
 
 
 def pack(items: DataFrame, specs: DataFrame, open_bins: int = OPEN_BINS, items_per_packer: int = ITEMS) -> DataFrame:
@@ -85,17 +84,18 @@ def pack(items: DataFrame, specs: DataFrame, open_bins: int = OPEN_BINS, items_p
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("spec_name"), F.lit(c).cast("int").alias("capacity_tokens")) for n, c in known])) if known else None
     if each is None:
         return good.select(F.lit("").alias("spec_name"), F.lit(0).alias("capacity_tokens"), "doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("token_start"), "tokens", F.lit("").alias("bin")).limit(0)
-    cut = good.select("doc_id", "tokens", each.alias("_s")).select("doc_id", "tokens", "_s.*")
+    copies = good.groupBy("doc_id", "tokens").agg(F.count(F.lit(1)).alias("_n"))  # repeated rows get numbers, so that names of bins don't depend on partitions
+    numbered = copies.select("doc_id", "tokens", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy"))
+    cut = numbered.select("doc_id", "tokens", "_copy", each.alias("_s")).select("doc_id", "tokens", "_copy", "_s.*")
     full = F.floor(F.col("tokens") / F.col("capacity_tokens")).cast("long")
-    whole = cut.filter(full > 0).select("spec_name", "capacity_tokens", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"), F.col("capacity_tokens").cast("long").alias("tokens"), F.monotonically_increasing_id().alias("_u"))
-    whole = whole.withColumn("bin", F.concat_ws("-", F.lit("w"), "doc_id", "piece", F.col("_u"))).drop("_u")
-    rest = cut.select("spec_name", "capacity_tokens", "doc_id", full.alias("piece"), (F.col("tokens") % F.col("capacity_tokens")).alias("tokens")).filter("tokens > 0")
-    order = F.xxhash64("doc_id")
-    spread = rest.withColumn("_order", order).withColumn("_shard", F.pmod(order, F.lit(shards)).cast("int"))
+    whole = cut.filter(full > 0).select("spec_name", "capacity_tokens", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"), F.col("capacity_tokens").cast("long").alias("tokens"), "_copy")
+    whole = whole.withColumn("bin", F.concat_ws("-", F.lit("w"), "doc_id", "piece", "_copy")).drop("_copy")
+    rest = cut.select("spec_name", "capacity_tokens", "doc_id", "_copy", full.alias("piece"), (F.col("tokens") % F.col("capacity_tokens")).alias("tokens")).filter("tokens > 0")
+    order = F.xxhash64("doc_id", "_copy")
+    spread = rest.withColumn("_order", order).withColumn("_shard", F.pmod("_order", F.lit(shards)).cast("int")).drop("_copy")
     kind = dict(spread.dtypes)["doc_id"]
-    packed = spread.groupBy("_shard", "capacity_tokens").applyInPandas(partial(_pack_group, open_bins=open_bins), f"spec_name string, doc_id {kind}, piece long, tokens long, _shard int, bin long")
-    capacity = F.create_map(*[x for n, c in known for x in (F.lit(n), F.lit(c).cast("int"))])
-    packed = packed.select("spec_name", capacity[F.col("spec_name")].alias("capacity_tokens"), "doc_id", "piece", "tokens", F.concat_ws("-", F.lit("p"), "_shard", "bin").alias("bin"))
+    packed = spread.groupBy("_shard", "spec_name", "capacity_tokens").applyInPandas(partial(_pack_group, open_bins=open_bins), f"spec_name string, capacity_tokens int, doc_id {kind}, piece long, tokens long, _shard int, bin long")
+    packed = packed.select("spec_name", "capacity_tokens", "doc_id", "piece", "tokens", F.concat_ws("-", F.lit("p"), "_shard", "bin").alias("bin"))
     return whole.unionByName(packed).select("spec_name", "capacity_tokens", "doc_id", "piece", (F.col("piece") * F.col("capacity_tokens")).alias("token_start"), "tokens", "bin")
 
 
