@@ -88,8 +88,8 @@ def pack(items: DataFrame, specs: DataFrame, open_bins: int = OPEN_BINS, items_p
     numbered = copies.select("doc_id", "tokens", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy"))
     cut = numbered.select("doc_id", "tokens", "_copy", each.alias("_s")).select("doc_id", "tokens", "_copy", "_s.*")
     full = F.floor(F.col("tokens") / F.col("capacity_tokens")).cast("long")
-    whole = cut.filter(full > 0).select("spec_name", "capacity_tokens", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"), F.col("capacity_tokens").cast("long").alias("tokens"), "_copy")
-    whole = whole.withColumn("bin", F.concat_ws("-", F.lit("w"), "doc_id", "piece", "_copy")).drop("_copy")
+    whole = cut.filter(full > 0).select("spec_name", "capacity_tokens", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"), F.col("capacity_tokens").cast("long").alias("tokens"), F.concat_ws("-", F.lit("w"), "doc_id", "tokens", "_copy").alias("_name"))
+    whole = whole.withColumn("bin", F.concat_ws("-", "_name", "piece")).drop("_name")
     rest = cut.select("spec_name", "capacity_tokens", "doc_id", "_copy", full.alias("piece"), (F.col("tokens") % F.col("capacity_tokens")).alias("tokens")).filter("tokens > 0")
     order = F.xxhash64("doc_id", "_copy")
     spread = rest.withColumn("_order", order).withColumn("_shard", F.pmod("_order", F.lit(shards)).cast("int")).drop("_copy")
