@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shards import hot_groups
+
 #: Times are moved by this many microseconds before the merge: a parent may be loaded so much later than its reference.
 DAY = 86_400 * 1_000_000
-#: A key with more references than this, and more than a thousandth of all, is spread over SALTS parts.
-HOT_REFERENCES, HOT_SHARE, SALTS = 200_000, 1000, 32
+#: A key with more references than this, and more than a thousandth of all, is spread over as many parts as bring it below that.
+HOT_REFERENCES = 200_000
 
 
 def reference_status(references: DataFrame, parents: DataFrame, grace_us: int = DAY, hot: int = HOT_REFERENCES) -> DataFrame:
@@ -23,18 +25,16 @@ def reference_status(references: DataFrame, parents: DataFrame, grace_us: int =
 
     Method: validity intervals become two events, start and end. Events and references are co-partitioned on the key and
     sorted by time; one linear merge counts starts and ends up to each reference. Neither side of a key is collected.
-    Keys that hold many references are salted: their references are spread and their (already merged) events repeated
-    for each salt. There are fewer than a thousand such keys by definition, so their list may be broadcast.
+    Keys that hold many references are salted, with as many salts as their number asks for: their references are spread and
+    their (already merged) events repeated for each salt. There are fewer than a thousand such keys by definition, so
+    their list may be broadcast. A key's events are not split: they are its distinct load and delete times.
 
     References whose key is NULL or blank are no references and give no row. A reference with a NULL time can't be in
     any interval: `missing` or `late`. Parents with a NULL key or load time, or deleted before they could count, give no
     interval but do exist. Repeated rows on either side change nothing; the result holds each reference once.
     """
     refs = references.filter(F.col("key").isNotNull() & (F.col("key") != "")).select("space", "key", "child_table", "child_id", "logged_ts").distinct()
-    counts = refs.groupBy("space", "key").agg(F.count(F.lit(1)).alias("_refs"))
-    total = references.count()
-    hot_keys = counts.filter(F.col("_refs") > max(hot, total // HOT_SHARE)).select("space", "key", F.lit(True).alias("_hot"))
-    hot_keys = F.broadcast(hot_keys)
+    hot_keys = hot_groups(refs.groupBy("space", "key").agg(F.count(F.lit(1)).alias("_refs")), "_refs", hot)
 
     start, end = F.unix_micros("loaded_ts") - grace_us, F.unix_micros("deleted_ts")
     known = parents.filter(F.col("key").isNotNull()).select("space", "key", start.alias("_s"), end.alias("_e"))
@@ -49,8 +49,12 @@ def reference_status(references: DataFrame, parents: DataFrame, grace_us: int =
         .groupBy("space", "key", "_t")
         .agg(F.sum("_starts").alias("_starts"), F.sum("_ends").alias("_ends"))
     )
-    salted_events = events.join(hot_keys, ["space", "key"], "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    salted_refs = refs.join(hot_keys, ["space", "key"], "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("child_table", "child_id", "logged_ts"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    if hot_keys is None:
+        salted_events, salted_refs = events.withColumn("_salt", F.lit(0)), refs.withColumn("_salt", F.lit(0))
+    else:
+        known_hot = F.broadcast(hot_keys)  # fewer than a thousand keys
+        salted_events = events.join(known_hot, ["space", "key"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+        salted_refs = refs.join(known_hot, ["space", "key"], "left").withColumn("_salt", F.pmod(F.xxhash64("child_table", "child_id", "logged_ts"), F.coalesce("_salts", F.lit(1))).cast("int"))
 
     none = lambda kind: F.lit(None).cast(kind)
     types = dict(refs.dtypes)

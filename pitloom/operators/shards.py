@@ -95,6 +95,16 @@ class TimeShards:
         return self._match(rows, self.table, "left").withColumn(SHARD, F.col("_base") * SLICES + part).drop("_us", "_base", "_lo", "_wide", "_parts")
 
 
+def hot_groups(counts: DataFrame, n: str, most: int = MOST) -> DataFrame | None:
+    """The groups that hold more than `most` and more than a thousandth of all rows, with the number of parts that brings each part
+    below that: counts' other columns and `_salts`, fewer than a thousand rows. None if there is no such group."""
+    total, largest = counts.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    limit = max(most, total // HOT_SHARE)
+    if largest <= limit:
+        return None
+    return stage(counts.filter(F.col(n) > limit).withColumn("_salts", F.ceil(F.col(n) / limit).cast("int")).drop(n))
+
+
 def with_edges(df: DataFrame, keys: list[str], order: list[str], carried: list[str], n: int) -> DataFrame:
     """Adds `_before` and `_after`: arrays of structs of `carried`, the n rows just outside the row's shard.
 

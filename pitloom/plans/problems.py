@@ -120,27 +120,26 @@ def p6_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals_out(latest(correct(state, now, changed_days(first, now, SERIES), SERIES, 2), SERIES))
 
 
-def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    news = k_slack(table(spark, sf_dir, "news"), "id", "event_ts", "as_of_ts", "day", 72)
-    unlocks = k_slack(table(spark, sf_dir, "unlocks"), "unlock_id", "unlock_date", "as_of_ts", "month", 240)
-    return news.withColumn("tbl", F.lit("news")), unlocks.withColumn("tbl", F.lit("unlocks"))
+def _arrivals(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {
+        "news": k_slack(table(spark, sf_dir, "news"), "id", "event_ts", "as_of_ts", "day", 72),
+        "unlocks": k_slack(table(spark, sf_dir, "unlocks"), "unlock_id", "unlock_date", "as_of_ts", "month", 240),
+    }
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    news, unlocks = _arrivals(spark, sf_dir)
-    return news.unionByName(unlocks).filter("late").select("tbl", "record_id", F.col("as_of_us").alias("as_of_us")).distinct()
+    runs = [run.filter("late").select(F.lit(name).alias("tbl"), "record_id", "as_of_us") for name, run in _arrivals(spark, sf_dir).items()]
+    return union_all(runs).distinct()
 
 
 def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    news, unlocks = _arrivals(spark, sf_dir)
-    both = released_aggregates(news).withColumn("tbl", F.lit("news")).unionByName(released_aggregates(unlocks).withColumn("tbl", F.lit("unlocks")))
-    return both.select("tbl", day_text(F.col("period_day")).alias("period"), "n", "n_late", "first_id", "last_id", "longest_gap_us")
+    finals = [released_aggregates(stage(run)).select(F.lit(name).alias("tbl"), "*") for name, run in _arrivals(spark, sf_dir).items()]
+    return union_all(finals).select("tbl", day_text(F.col("period_day")).alias("period"), "n", "n_late", "first_id", "last_id", "longest_gap_us")
 
 
 def p7_provisional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    news, unlocks = _arrivals(spark, sf_dir)
-    both = provisional_counts(news).withColumn("tbl", F.lit("news")).unionByName(provisional_counts(unlocks).withColumn("tbl", F.lit("unlocks")))
-    return both.select("tbl", day_text(F.col("period_day")).alias("period"), "published_us", "n", "final")
+    counts = [provisional_counts(run).select(F.lit(name).alias("tbl"), "*") for name, run in _arrivals(spark, sf_dir).items()]
+    return union_all(counts).select("tbl", day_text(F.col("period_day")).alias("period"), "published_us", "n", "final")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

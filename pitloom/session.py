@@ -98,8 +98,8 @@ def release(spark: SparkSession | None = None) -> None:
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, mb: int = BROADCAST_MB) -> DataFrame:
-    """df with a broadcast hint if a count shows that it has at most `rows` rows and `mb` megabytes; else df.
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, mb: int = BROADCAST_MB) -> bool:
+    """Whether a count shows that df has at most `rows` rows and `mb` megabytes.
 
     Columns of no fixed width count with their real size. The plan of df runs once for the count: pass a staged or small table.
     """
@@ -107,4 +107,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, mb: int = BROADCAST_MB) ->
     sizes = [F.coalesce(F.octet_length(F.col(f"`{c}`") if kind in ("string", "binary") else F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c, kind in df.dtypes if c in wide]
     width = 16 * len(df.columns) + reduce(lambda a, b: a + b, sizes, F.lit(0))
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and size <= mb << 20 else df
+    return n <= rows and size <= mb << 20
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, mb: int = BROADCAST_MB) -> DataFrame:
+    """df with a broadcast hint if it fits, else df."""
+    return F.broadcast(df) if fits(df, rows, mb) else df

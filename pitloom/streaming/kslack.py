@@ -2,78 +2,77 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-DAY_US = 86_400_000_000
-OUT = "period_day int, kind string, n long, first_id long, last_id long, longest_gap_us long, record_id long"
-STATE = "ids array<bigint>, times array<bigint>"
+from ..operators.late import aggregate_released, period_and_close
 
+OUT = "kind string, period_day int, buffer int, record_id long, event_us long, as_of_us long, n long, first_us long, last_us long"
+STATE = "ids array<bigint>, times array<bigint>, arrivals array<bigint>"
+ORDER = ["as_of_us", "event_us"]
 
-def _summary(ids: list[int], times: list[int]) -> dict:
-    order = sorted(zip(times, ids))
-    gaps = [b[0] - a[0] for a, b in zip(order, order[1:])]
-    return {"n": len(order), "first_id": order[0][1] if order else None, "last_id": order[-1][1] if order else None, "longest_gap_us": max(gaps, default=None)}
 
+def _rows(kind: str, day: int, buffer: int, rows: pd.DataFrame | None = None, **values) -> pd.DataFrame:
+    names = [x.split()[0] for x in OUT.split(", ")]
+    out = rows.reset_index(drop=True) if rows is not None else pd.DataFrame(index=[0])
+    out = out.assign(kind=kind, period_day=day, buffer=buffer, **values)
+    for c in names[3:]:
+        out[c] = out[c].astype("Int64") if c in out else pd.array([None] * len(out), dtype="Int64")
+    return out[names]
 
-def _row(day: int, kind: str, record_id=None, **summary) -> pd.DataFrame:
-    full = {"n": None, "first_id": None, "last_id": None, "longest_gap_us": None} | summary
-    out = pd.DataFrame([{"period_day": day, "kind": kind, **full, "record_id": record_id}])
-    for c in ("n", "first_id", "last_id", "longest_gap_us", "record_id"):
-        out[c] = out[c].astype("Int64")
-    return out
 
+def k_slack_stream(events: DataFrame, record_id: str, event_ts: str, as_of_ts: str, slack_hours: int, delay: str | None = None, buffers: int = 16, period: str = "day") -> DataFrame:
+    """Buffers the events of each period until its close (end plus slack), and releases them then, in the order of event time.
 
-def k_slack_stream(events: DataFrame, record_id: str, event_ts: str, as_of_ts: str, slack_hours: int, delay: str = "0 seconds") -> DataFrame:
-    """Per day of event time: `provisional` rows while events are buffered, one `final` row at the close, `late` rows after it.
+    Rows by `kind`: `released`, one row an event when the watermark of the arrival times passes the close; `late`, an
+    arrival behind the close; `provisional`, for each buffer of a period that has grown: the number of events it holds (n) and their first and
+    last time. A period is spread over `buffers` states by record, which are released in the same micro-batch, so a
+    period's final values are aggregate_released over the released rows of a batch (see `finals`). A record that arrives again in
+    time replaces its earlier arrival, whichever of them the stream delivers first.
 
-    The buffer of a day waits until the watermark of the arrival times passes the day's end plus the slack; its
-    events are then released in the order of event time to the aggregation. A record that arrives again in time replaces its
-    earlier arrival. Rows with a NULL in either time are dropped. The state of a closed day is removed.
+    delay: how much later than newer ones an arrival may be delivered; what comes later still is dropped by Spark's watermark.
+    It is the slack if it isn't given; a period is released so much behind its close. Rows with a NULL in either time are
+    dropped. The state of a released period is removed.
     """
-    slack_us = slack_hours * 3_600_000_000
-    rows = events.filter(F.col(event_ts).isNotNull() & F.col(as_of_ts).isNotNull()).withWatermark(as_of_ts, delay)
-    rows = rows.select(F.floor(F.unix_seconds(event_ts) / 86_400).cast("int").alias("period_day"), F.col(record_id).cast("long").alias("record_id"), F.unix_micros(event_ts).alias("event_us"), F.unix_micros(as_of_ts).alias("as_of_us"), as_of_ts)
+    start, close = period_and_close(F.col(event_ts), period, slack_hours)
+    rows = events.filter(F.col(event_ts).isNotNull() & F.col(as_of_ts).isNotNull()).withWatermark(as_of_ts, delay or f"{slack_hours} hours")
+    rows = rows.select(start.alias("period_day"), close.alias("close_us"), F.pmod(F.xxhash64(record_id), F.lit(buffers)).cast("int").alias("buffer"), F.col(record_id).cast("long").alias("record_id"), F.unix_micros(event_ts).alias("event_us"), F.unix_micros(as_of_ts).alias("as_of_us"), as_of_ts)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day = int(key[0])
-        close_us = (day + 1) * DAY_US + slack_us
-        held = dict(zip(*map(list, state.get))) if state.exists else {}
-        if state.hasTimedOut:
-            state.remove()
-            yield _row(day, "final", **_summary(list(held), list(held.values())))
-            return
-        changed = False
-        for pdf in batches:
-            for r in pdf.sort_values(["as_of_us", "event_us"]).itertuples():
-                if r.as_of_us > close_us:
-                    yield _row(day, "late", record_id=int(r.record_id))
-                else:
-                    held[int(r.record_id)] = int(r.event_us)
-                    changed = True
-        if changed or state.exists:
-            if close_us // 1000 + 1 <= state.getCurrentWatermarkMs():
-                if state.exists:
-                    state.remove()
-                yield _row(day, "final", **_summary(list(held), list(held.values())))
+        day, buffer, close_us = int(key[0]), int(key[1]), int(key[2])
+        held = pd.DataFrame(dict(zip(("record_id", "event_us", "as_of_us"), map(np.asarray, state.get)))) if state.exists else None
+        if not state.hasTimedOut:
+            new = pd.concat([b[["record_id", "event_us", "as_of_us"]] for b in batches])
+            late = new[new["as_of_us"] > close_us]
+            if len(late):
+                yield _rows("late", day, buffer, late)
+            new = new[new["as_of_us"] <= close_us]
+            if not len(new):
+                return
+            held = pd.concat([held, new]) if held is not None else new
+            held = held.sort_values(ORDER, kind="stable").drop_duplicates("record_id", keep="last")
+            if close_us // 1000 + 1 > state.getCurrentWatermarkMs():
+                state.update(tuple(held[c].tolist() for c in ("record_id", "event_us", "as_of_us")))
+                state.setTimeoutTimestamp(close_us // 1000 + 1)
+                yield _rows("provisional", day, buffer, n=len(held), first_us=int(held["event_us"].min()), last_us=int(held["event_us"].max()))
                 return
-            state.update((list(held), list(held.values())))
-            state.setTimeoutTimestamp(close_us // 1000 + 1)
-            if changed:
-                yield _row(day, "provisional", **_summary(list(held), list(held.values())))
+        if state.exists:
+            state.remove()
+        yield _rows("released", day, buffer, held.sort_values(["event_us", "record_id"]))
+
+    return rows.groupBy("period_day", "buffer", "close_us").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
-    return rows.groupBy("period_day").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+def finals(out: DataFrame) -> DataFrame:
+    """Final values of the periods that a micro-batch (or the whole output) of k_slack_stream releases."""
+    return aggregate_released(out.filter("kind = 'released'").select("period_day", "record_id", "event_us"))
 
 
 def into_store(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], object]):
     """Runs a stream over what is there and hands each micro-batch to `write`, which must be idempotent (an upsert)."""
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-
-
-def utc(us: int) -> dt.datetime:
-    return dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=us)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from conftest import ts
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pitloom.operators.late import k_slack, provisional_counts, released_aggregates
 from pitloom.operators.orphans import blank_to_null, orphan_report, reference_status
-from pitloom.streaming.kslack import k_slack_stream
+from pitloom.session import stage
+from pitloom.streaming.kslack import finals, k_slack_stream
 
 T0 = ts("2024-03-01")
 H = dt.timedelta(hours=1)
@@ -81,9 +83,11 @@ def arrivals(seed, days=6, n=400):
     return rows + rows[:30] + [(1, None, T0, 1, 1), (2, T0, None, 1, 1)]
 
 
-def test_late_rows_and_counts(spark):
+@pytest.mark.parametrize("most", [20, 10**6])
+def test_late_rows_and_counts(spark, monkeypatch, most):
+    monkeypatch.setattr("pitloom.operators.shards.HOT_SHARE", 10**9)
     rows = arrivals(2)
-    slack = k_slack(spark.createDataFrame(rows, EVENTS), "id", "event_ts", "as_of_ts", "day", 72)
+    slack = stage(k_slack(spark.createDataFrame(rows, EVENTS), "id", "event_ts", "as_of_ts", "day", 72, most))
     good, late = {}, set()
     for i, e, a, *_ in rows:
         if e is None or a is None:
@@ -96,7 +100,7 @@ def test_late_rows_and_counts(spark):
             old = good.setdefault(d, {}).get(i)
             good[d][i] = max(old, (a, e)) if old else (a, e)
     assert slack.filter("late").count() == len(late)
-    got = {r.period_day: r for r in released_aggregates(slack).collect()}
+    got = {r.period_day: r for r in released_aggregates(slack, most).collect()}
     for d, recs in good.items():
         r = got[(d - dt.date(1970, 1, 1)).days]
         order = sorted((e, i) for i, (a, e) in recs.items())
@@ -114,21 +118,35 @@ def test_months_and_empty(spark):
     assert none.count() == 0 and released_aggregates(none).count() == 0 and provisional_counts(none).count() == 0
 
 
-def test_stream_ends_at_the_batch_result(spark, tmp_path):
-    rows = sorted((r for r in arrivals(4, n=200) if r[1] and r[2]), key=lambda r: r[2])
-    rows.append((999, T0 + dt.timedelta(days=60), T0 + dt.timedelta(days=60), 1, 1))
-    for k in range(4):
-        part = rows[k * len(rows) // 4 : (k + 1) * len(rows) // 4]
+@pytest.mark.parametrize("seed", [4, 5])
+def test_stream_releases_what_the_batch_does(spark, tmp_path, seed):
+    """Arrivals are delivered out of order, by up to the slack: three hours here; a record's later arrival may come first."""
+    rng = random.Random(seed)
+    rows = sorted((r for r in arrivals(seed, n=200) if r[1] and r[2]), key=lambda r: r[2] + rng.random() * 71 * H)
+    last = T0 + dt.timedelta(days=60)
+    for k in range(6):
+        part = rows[k * len(rows) // 6 : (k + 1) * len(rows) // 6]
         spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)  # files are read in the order of their times
+    spark.createDataFrame([(999, last, last, 1, 1)], EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = k_slack_stream(stream, "id", "event_ts", "as_of_ts", 72).writeStream.format("memory").queryName("slack").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    got, grown = {}, []
+
+    def take(out, batch):
+        out = stage(out)
+        for r in finals(out).collect():
+            assert r.period_day not in got  # all buffers of a period are released in one batch
+            got[r.period_day] = (r.n, r.first_id, r.last_id, r.longest_gap_us)
+        late.update((r.record_id, r.event_us, r.as_of_us) for r in out.filter("kind = 'late'").collect())
+        grown.append(out.filter("kind = 'provisional'").count())
+
+    late = set()
+    q = k_slack_stream(stream, "id", "event_ts", "as_of_ts", 72, buffers=3).writeStream.foreachBatch(take).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    out = spark.table("slack")
-    batch = released_aggregates(k_slack(spark.createDataFrame(rows[:-1], EVENTS), "id", "event_ts", "as_of_ts", "day", 72))
-    want = {r.period_day: (r.n, r.first_id, r.last_id, r.longest_gap_us) for r in batch.collect() if r.n}
-    assert {r.period_day: (r.n, r.first_id, r.last_id, r.longest_gap_us) for r in out.filter("kind = 'final'").collect()} == want
-    assert out.filter("kind = 'provisional'").count() >= len(want)
-    assert out.filter("kind = 'late'").count() > 0
+    run = stage(k_slack(spark.createDataFrame(rows, EVENTS), "id", "event_ts", "as_of_ts", "day", 72))
+    want = {r.period_day: (r.n, r.first_id, r.last_id, r.longest_gap_us) for r in released_aggregates(run).collect() if r.n}
+    assert got == want and sum(grown) >= len(want)
+    assert late == {(r.record_id, r.event_us, r.as_of_us) for r in run.filter("late").collect()} and late

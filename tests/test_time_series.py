@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pitloom.operators.asof import as_known_at
 from pitloom.operators.grid import regular_grid
 from pitloom.operators.rolling import advance, advance_in_steps, changed_days, correct, daily_amounts, latest, present, rolling_totals, versioned
-from pitloom.operators.shards import usable_readings
+from pitloom.operators.shards import TimeShards, usable_readings
 from pitloom.operators.spikes import exact_median, flag_faults
 from pitloom.session import stage
 
@@ -72,9 +72,13 @@ def readings(spark, rows):
     return usable_readings(spark.createDataFrame(rows, READING))
 
 
-@pytest.mark.parametrize("width", [7, 128])
-def test_grid_is_a_plain_fill(readings, rows, width):
-    got = {(r.coin, r.metric, r.source, r.day): (r.n_readings, r.missing, r.value, r.value_day) for r in regular_grid(readings, KEYS, shard_days=width).collect()}
+SHARDS = [(7, 10**6), (128, 10**6), (400, 20)]
+
+
+@pytest.mark.parametrize(("width", "most"), SHARDS)
+def test_grid_is_a_plain_fill(readings, rows, monkeypatch, width, most):
+    monkeypatch.setattr("pitloom.operators.shards.HOT_SHARE", 10**9)
+    got = {(r.coin, r.metric, r.source, r.day): (r.n_readings, r.missing, r.value, r.value_day) for r in regular_grid(readings, KEYS, shard_days=width, most=most).collect()}
     want = {}
     for k, rs in current(rows).items():
         by = {}
@@ -170,32 +174,40 @@ def faults(rows):
     return bad
 
 
-@pytest.mark.parametrize("width", [3, 20, 256])
-def test_faults_are_the_exact_rule(spark, readings, rows, width):
+@pytest.mark.parametrize(("width", "most"), [(3, 10**6), (20, 10**6), (256, 15)])
+@pytest.mark.parametrize("factor_rounds", [1, 3])
+def test_faults_are_the_exact_rule(spark, readings, rows, monkeypatch, width, most, factor_rounds):
+    if (width, factor_rounds) == (3, 3):
+        pytest.skip("two of the three widths suffice")
+    monkeypatch.setattr("pitloom.operators.shards.HOT_SHARE", 10**9)
+    if most == 15:  # the way that many series take
+        monkeypatch.setattr("pitloom.operators.spikes.fits", lambda df: False)
     catalog = spark.createDataFrame([("m", 0.0, 1000.0, False), ("m", 0.0, 1000.0, False), ("other", None, None, True)], CATALOG)
-    out = flag_faults(readings, catalog, KEYS, shard_days=width).collect()
+    out = flag_faults(readings, catalog, KEYS, rounds=factor_rounds, shard_days=width, most=most).collect()
     assert {r.reading_id for r in out if r.impossible or r.stuck or r.spike} == faults(rows)
     assert all(r.candidate for r in out if r.spike)
     assert len(out) == sum(len(v) for v in current(rows).values())
 
 
-def test_exact_median(spark):
+@pytest.mark.parametrize("most", [20, 10**6])
+def test_exact_median(spark, most):
     rng = random.Random(1)
-    data = {"even": [rng.expovariate(1) for _ in range(400)], "odd": [rng.gauss(0, 1) ** 2 for _ in range(301)], "zeros": [0.0] * 7 + [3.0], "two": [1.0, 50.0], "one": [5.0]}
+    data = {"even": [rng.expovariate(1) for _ in range(400)], "odd": [rng.gauss(0, 1) ** 2 for _ in range(301)], "zeros": [0.0] * 7 + [3.0], "two": [1.0, 50.0], "one": [5.0], "ties": [2.0] * 60 + [2.05] * 60 + [9.0] * 3}
     df = spark.createDataFrame([(k, x) for k, v in data.items() for x in v] + [("none", None), ("one", None)], "k string, x double")
-    assert {r.k: r.median for r in exact_median(df, ["k"], "x").collect()} == pytest.approx({k: median(v) for k, v in data.items()})
+    assert {r.k: r.median for r in exact_median(df, ["k"], "x", most).collect()} == pytest.approx({k: median(v) for k, v in data.items()})
 
 
 REQUEST = "request_id long, coin string, metric string, source string, request_ts timestamp, value double, _c int"
 
 
-@pytest.mark.parametrize("width", [5, 128])
-def test_as_known(spark, readings, rows, width):
+@pytest.mark.parametrize(("width", "most"), SHARDS)
+def test_as_known(spark, readings, rows, monkeypatch, width, most):
+    monkeypatch.setattr("pitloom.operators.shards.HOT_SHARE", 10**9)
     rng = random.Random(5)
     asked = [(i, f"c{rng.randrange(5)}", "m", "s", DAY0 + dt.timedelta(days=rng.uniform(-5, 500)), 0.5, 1) for i in range(300)]
     asked += [(900, "c0", "m", "s", None, None, None), (901, None, "m", "s", DAY0, None, None)]
     asked += [(1000 + i, r[3], r[4], r[6], max(r[1], r[2]), None, None) for i, r in enumerate(usable(rows)[:50]) if r[3]]
-    got = {r.request_id: (r.reading_id, r.value) for r in as_known_at(spark.createDataFrame(asked, REQUEST), readings, KEYS, ["value", "status"], shard_days=width).collect()}
+    got = {r.request_id: (r.reading_id, r.value) for r in as_known_at(spark.createDataFrame(asked, REQUEST), readings, KEYS, ["value", "status"], shard_days=width, most=most).collect()}
     want = {}
     for q in asked:
         seen = [r for r in usable(rows) if q[4] is not None and (r[3], r[4], r[6]) == q[1:4] and r[1] <= q[4] and r[2] <= q[4]]
@@ -205,6 +217,21 @@ def test_as_known(spark, readings, rows, width):
     assert got == want
 
 
+def test_shards_of_a_dense_month_are_even(spark, monkeypatch):
+    """A series with half of all rows within one month: no shard holds above twice the median of those it is cut into."""
+    monkeypatch.setattr("pitloom.operators.shards.HOT_SHARE", 50)
+    day = 86_400_000_000
+    dense = spark.range(50_000).select(F.lit("hot").alias("k"), (F.lit(19_700 * day) + F.col("id") * 30 * day / 50_000).cast("long").alias("us"))
+    rest = spark.range(50_000).select(F.concat(F.lit("k"), F.col("id") % 97).alias("k"), (F.lit(18_000 * day) + F.col("id") * 1000 * day / 50_000).cast("long").alias("us"))
+    rows = dense.unionByName(rest).unionByName(spark.range(3).select(F.lit(None).cast("string").alias("k"), F.lit(5).cast("long").alias("us")))
+    shards = TimeShards([(rows, F.col("us"))], ["k"], 128, 100)
+    out = stage(shards.add(rows, F.col("us")))
+    sizes = sorted(r["count"] for r in out.filter("k = 'hot'").groupBy("_shard").count().collect())
+    assert out.count() == 100_003 and len(sizes) >= 20 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    w = out.groupBy("k", "_shard").agg(F.min("us").alias("a"), F.max("us").alias("b")).orderBy("k", "_shard").collect()
+    assert all(x.b < y.a for x, y in zip(w, w[1:]) if x.k == y.k)
+
+
 def test_empty_tables(spark):
     none = usable_readings(spark.createDataFrame([], READING))
     assert regular_grid(none, KEYS).count() == 0
