@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +47,28 @@ def smooth_labels(df: DataFrame, keys: list[str], order: str, value: str, window
         return F.when(s["now"].isNull(), keep(x, none, F.lit(0))).when(same | x.isNull(), keep(s["now"], none, F.lit(0))).when(n >= window, keep(x, none, F.lit(0))).otherwise(keep(s["now"], x, n))
 
     return fold_series(df, keys, order, value, state, step, lambda s: s["now"], name)
+
+
+def expanding_quantile(df: DataFrame, keys: list[str], order: str, value: str, p: float, least: int, name: str = "quantile") -> DataFrame:
+    """keys, order, value and the exact quantile (interpolated) of all earlier values of the series, NULL before `least` of them exist.
+
+    Values are kept sorted, so each row costs a binary search, where a window would sort its growing frame again.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        seen: list[float] = []
+        out = np.full(len(rows), np.nan)
+        for i, x in enumerate(rows[value].to_numpy(dtype=float)):
+            if len(seen) >= max(least, 1):
+                at = p * (len(seen) - 1)
+                lo = int(at)
+                hi = min(lo + 1, len(seen) - 1)
+                out[i] = seen[lo] * (lo + 1 - at) + seen[hi] * (at - lo)
+            if not np.isnan(x):
+                insort(seen, x)
+        return rows.assign(**{name: out})  # NaN comes out as NULL
+
+    kinds = dict(df.dtypes)
+    columns = [*keys, order, value]
+    return df.select(*columns).groupBy(*keys).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", `{name}` double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 #: Constants of BM25: saturation of the term frequency and weight of the length.
 K1, B = 1.5, 0.75
 
@@ -15,10 +17,10 @@ def tokens(text: Column | str) -> Column:
 
 
 def bm25(documents: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
-    """query, doc, score of every document that shares a term with the query. Terms are counted over all documents."""
+    """query, doc, score of every document that shares a term with the query. Terms are counted over all documents, each of which is cut into terms once."""
     terms = documents.select(F.col(doc_id).alias("doc"), tokens(text).alias("_t"))
-    counts = terms.select("doc", F.size("_t").alias("_len"), F.explode("_t").alias("term")).groupBy("doc", "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
-    n = documents.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size(tokens(text))).alias("_avg"))
+    counts = stage(terms.select("doc", F.size("_t").alias("_len"), F.explode("_t").alias("term")).groupBy("doc", "_len", "term").agg(F.count(F.lit(1)).alias("_tf")))
+    n = documents.agg(F.count(F.lit(1)).alias("_n"), F.count(text).alias("_texts")).crossJoin(counts.agg(F.sum("_tf").alias("_all"))).select("_n", F.try_divide("_all", "_texts").alias("_avg"))  # one row each
     asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(tokens(query))).alias("term"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     hits = counts.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(n))  # n is one row

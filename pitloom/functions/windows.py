@@ -81,12 +81,6 @@ def compounded(r, s: Series) -> Column:
     return F.product(1 + F.coalesce(_c(r), F.lit(0.0))).over(s.so_far)
 
 
-def earlier_quantile(x, s: Series, p: float, least: int) -> Column:
-    """Exact quantile of all earlier values of the series; NULL before `least` of them exist."""
-    before = s.w.rowsBetween(Window.unboundedPreceding, -1)
-    return F.when(F.count(_c(x)).over(before) >= least, F.percentile(_c(x), F.lit(p)).over(before))
-
-
 def persisted(x, s: Series, n: int) -> Column:
     """x where it has been the same for n rows, else NULL."""
     f = s.last(n)

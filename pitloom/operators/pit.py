@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shards import MOST, last_known
+
 
 def known_at(df: DataFrame, as_of, event_from=None, event_to=None, event_ts: str = "event_ts", as_of_ts: str = "as_of_ts") -> DataFrame:
     """All revisions visible at `as_of` whose event time lies in the range (both ends in). NULL times are never visible."""
@@ -26,18 +28,17 @@ def has_token(listed: Column | str, token: str, separator: str = ",") -> Column:
     return F.array_contains(items, token)
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, right_order: list[str], carried: list[str]) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, right_order: list[str], carried: list[str], most: int = MOST) -> DataFrame:
     """Each left row with `carried` of the last right row at or before its time; NULLs where there is none.
 
     Both sides are merged in one sorted pass: no range join. Ties on the right go to the last by `right_order`. The left
-    row is kept whole; left columns must not be named like carried ones.
+    row is kept whole; left columns must not be named like carried ones. A key with more than `most` rows is merged in several parts.
     """
     l = left.select(F.struct(*left.columns).alias("_l"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(left_ts).alias("_t"), F.lit(1).alias("_side"))
     r = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(right_order)], F.struct(*carried).alias("_r"))
     both = l.unionByName(r, allowMissingColumns=True)
     order = ["_t", "_side", *[f"_o{i}" for i in range(len(right_order))]]
-    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1").select("_l.*", "_r.*")
+    return last_known(both, [f"_k{i}" for i in range(len(keys))], ["_r"], order, most).filter("_side = 1").select("_l.*", "_r.*")
 
 
 def calendar_gaps(df: DataFrame, keys: list[str], day: str) -> DataFrame:
@@ -54,8 +55,9 @@ def drop_head_of_runs(df: DataFrame, keys: list[str], index: str, head: int) ->
     return run.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(index))).filter(F.col("_at") > head).drop("_run", "_at")
 
 
-def wide_as_of(readings: DataFrame, dates: Column, keys: list[str], metrics: list[str], as_of_ts: str, order: list[str], value: str = "value", metric: str = "metric", date: str = "date") -> DataFrame:
-    """One row per key and date with the last value of each metric known by then: all metrics in one sorted pass.
+def wide_as_of(readings: DataFrame, dates: Column, keys: list[str], metrics: list[str], as_of_ts: str, order: list[str], value: str = "value", metric: str = "metric", date: str = "date", most: int = MOST) -> DataFrame:
+    """One row per key and date with the last value of each metric known by then: all metrics in one sorted pass, in several
+    parts where a key has more than `most` rows.
 
     dates: an array of timestamps, asked of every key. A metric not known yet is NULL. Values never go stale.
     """
@@ -63,8 +65,8 @@ def wide_as_of(readings: DataFrame, dates: Column, keys: list[str], metrics: lis
     facts = readings.filter(F.col(metric).isin(metrics)).select(*keys, F.col(as_of_ts).alias("_t"), F.lit(0).alias("_side"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *cols)
     asked = facts.select(*keys).distinct().select(*keys, F.explode(dates).alias("_t"), F.lit(1).alias("_side"))
     both = facts.unionByName(asked, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = both.select(*keys, "_t", "_side", *[F.last(f"_m{i}", ignorenulls=True).over(w)["v"].alias(m) for i, m in enumerate(metrics)])
+    known = last_known(both, keys, [f"_m{i}" for i in range(len(metrics))], ["_t", "_side", *[f"_o{i}" for i in range(len(order))]], most)
+    filled = known.select(*keys, "_t", "_side", *[F.col(f"_m{i}")["v"].alias(m) for i, m in enumerate(metrics)])
     return filled.filter("_side = 1").select(*keys, F.col("_t").alias(date), *metrics)
 
 

@@ -133,6 +133,56 @@ def with_edges(df: DataFrame, keys: list[str], order: list[str], carried: list[s
     return ranked.join(carry, [*keys, SHARD])
 
 
+def micros(df: DataFrame, c: str) -> Column:
+    """An order column as a whole number: microseconds of times and dates, else its own value."""
+    kind = dict(df.dtypes)[c]
+    x = F.col(c)
+    return F.unix_micros(x.cast("timestamp")) if kind in ("timestamp", "timestamp_ntz") else F.unix_date(x).cast("long") * DAY_US if kind == "date" else F.floor(x).cast("long")
+
+
+def _join_shards(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    by = [*keys, SHARD]
+    other = carry.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[c for c in carry.columns if c not in by])
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)])
+    return rows.join(other, on, "left").drop(*[f"_by{i}" for i in range(len(by))])
+
+
+def last_known(rows: DataFrame, keys: list[str], columns: list[str], order: list[str], most: int = MOST) -> DataFrame:
+    """rows with each column replaced by its last value that is not NULL up to the row, by `order`, of which the first is a time.
+
+    A key with more than `most` rows is cut into shards by time; what the shards before know is carried in, one row a shard.
+    """
+    us = micros(rows, order[0])
+    shards = TimeShards([(rows, us)], keys, None, most)
+    by = keys if not shards.split else [*keys, SHARD]
+    if shards.split:
+        rows = shards.add(rows, us)
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    if not shards.split:
+        return filled
+    ends = rows.groupBy(*by).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_end{i}") for i, c in enumerate(columns)])
+    before = Window.partitionBy(*keys).orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*by, *[F.last(f"_end{i}", ignorenulls=True).over(before).alias(f"_in{i}") for i in range(len(columns))])
+    joined = _join_shards(filled, carry, keys)
+    return joined.withColumns({c: F.coalesce(c, f"_in{i}") for i, c in enumerate(columns)}).drop(SHARD, *[f"_in{i}" for i in range(len(columns))])
+
+
+def running_total(rows: DataFrame, keys: list[str], x: str, order: list[str], name: str, most: int = MOST) -> DataFrame:
+    """rows with the sum of x up to each row; keys with more than `most` rows are cut into shards by time, as in last_known."""
+    us = micros(rows, order[0])
+    shards = TimeShards([(rows, us)], keys, None, most)
+    by = keys if not shards.split else [*keys, SHARD]
+    if shards.split:
+        rows = shards.add(rows, us)
+    own = rows.withColumn(name, F.sum(x).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if not shards.split:
+        return own
+    before = Window.partitionBy(*keys).orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(*by).agg(F.sum(x).alias("_sum")).select(*by, F.sum("_sum").over(before).alias("_in"))
+    return _join_shards(own, carry, keys).withColumn(name, F.col(name) + F.coalesce("_in", F.lit(0))).drop(SHARD, "_in")
+
+
 _NULL = "\x00null"
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.folds import exponential_mean, smooth_labels
+from ..functions.folds import expanding_quantile, exponential_mean, smooth_labels
 from ..functions.stats import annualised, block_bootstrap, central_moment, profit_factor, purged_splits, sharpe, sharpe_variance, total_return, win_rate
-from ..functions.windows import Series, compounded, drawdown, earlier_quantile, forward_fill, log_change, pct_change, persisted, rolling_mean, rolling_std, rolling_sum, zscore
-from ..operators.pit import newest
+from ..functions.windows import Series, compounded, drawdown, forward_fill, log_change, pct_change, persisted, rolling_mean, rolling_std, rolling_sum, zscore
 from ..operators.shards import clean_name
 from ..operators.ticks import fast_buckets, order_imbalance, volume_buckets
+from ..sources.stores import keep_last
 from .registry import Registry
 from .views import BARS, RETURNS, TICKS, bars, returns, table, ticks
 
@@ -46,7 +46,7 @@ OFF = 1.23e-8
 @add("WIN01_latest_snapshot", "WITH v AS (SELECT lower(regexp_replace(coin, '^\\s+|\\s+$', '', 'g')) AS coin, metric, source, reading_id, value, row_number() OVER (PARTITION BY lower(regexp_replace(coin, '^\\s+|\\s+$', '', 'g')), metric, source ORDER BY epoch_us(event_ts) DESC, epoch_us(as_of_ts) DESC, reading_id DESC) AS rn FROM onchain WHERE epoch_us(as_of_ts) <= 1719705600000000 AND event_ts IS NOT NULL) SELECT coin, metric, source, reading_id, value FROM v WHERE rn = 1")
 def win01(spark, d):
     seen = table(spark, d, "onchain").filter((F.unix_micros("as_of_ts") <= 1719705600000000) & F.col("event_ts").isNotNull()).withColumn("coin", clean_name("coin"))
-    return newest(seen, ["coin", "metric", "source"], [F.desc("event_ts"), F.desc("as_of_ts"), F.desc("reading_id")]).select("coin", "metric", "source", "reading_id", "value")
+    return keep_last(seen, ["coin", "metric", "source"], [F.col("event_ts"), F.col("as_of_ts"), F.col("reading_id")]).select("coin", "metric", "source", "reading_id", "value")
 
 
 @add("WIN02_lags_leads", f"WITH {BARS} SELECT symbol, date, lag(close, 1) OVER w AS l1, lag(close, 7) OVER w AS l7, lead(close, 7) OVER w AS h7, lead(close, 14) OVER w AS h14 FROM bars WINDOW {W}")
@@ -115,7 +115,7 @@ def win13(spark, d):
 
 @add("WIN14_expanding_quantile", f"WITH {BARS} SELECT symbol, date, round(CASE WHEN count(close) OVER b >= 20 THEN quantile_cont(close, 0.8) OVER b END, 6) AS q FROM bars WINDOW b AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def win14(spark, d):
-    return bars(spark, d).select("symbol", "date", r(earlier_quantile("close", S, 0.8, 20)).alias("q"))
+    return expanding_quantile(bars(spark, d), ["symbol"], "date", "close", 0.8, 20, "q").select("symbol", "date", r("q").alias("q"))
 
 
 @add("WIN15_drawdown", f"WITH {BARS} SELECT symbol, date, round((close - max(close) OVER w) / max(close) OVER w, 6) AS dd FROM bars WINDOW {W}")
@@ -289,11 +289,15 @@ def met17(spark, d):
     return draws.groupBy("symbol").agg(F.count("sharpe").alias("n"), F.percentile("sharpe", [0.025, 0.5, 0.975]).alias("q"))
 
 
-@add("MET20_purged_splits", """WITH s AS (SELECT i AS a, j AS b, CAST(row_number() OVER (ORDER BY i, j) - 1 AS INTEGER) AS split FROM range(8) x(i), range(8) y(j) WHERE i < j), n AS (SELECT CAST(unnest(range(400)) AS INTEGER) AS row),
-h AS (SELECT split, row, (row // 50) IN (a, b) AS t, greatest(a * 50 - 5, 0) <= row AND row < a * 50 + 55 OR greatest(b * 50 - 5, 0) <= row AND row < b * 50 + 55 AS e FROM s, n)
-SELECT split, row, CASE WHEN t THEN 'test' WHEN e THEN 'embargo' ELSE 'train' END AS role FROM h""")
+@add("MET20_purged_splits", f"""WITH {RETURNS}, c AS (SELECT CAST(count(DISTINCT date) AS INTEGER) AS n FROM returns), g AS (SELECT CAST(i AS INTEGER) AS g, CAST(i * (n // 8) AS INTEGER) AS lo, CAST(CASE WHEN i = 7 THEN n ELSE (i + 1) * (n // 8) END AS INTEGER) AS hi, n FROM c, range(8) x(i)),
+s AS (SELECT CAST(row_number() OVER (ORDER BY x.g, y.g) - 1 AS INTEGER) AS split, x.lo AS l1, x.hi AS h1, y.lo AS l2, y.hi AS h2, x.n FROM g x, g y WHERE x.g < y.g),
+k AS (SELECT split, CAST(row AS INTEGER) AS row, n, row >= l1 AND row < h1 OR row >= l2 AND row < h2 AS t, row >= l1 - 5 AND row < h1 + 5 OR row >= l2 - 5 AND row < h2 + 5 AS e FROM s, range((SELECT n FROM c)) r(row)),
+f AS (SELECT *, count(*) FILTER (NOT t AND NOT e) OVER (PARTITION BY split) AS train FROM k)
+SELECT split, row, CASE WHEN t THEN 'test' WHEN e THEN 'embargo' ELSE 'train' END AS role FROM f WHERE train >= n * 3 // 4 - 15""")
 def met20(spark, d):
-    return purged_splits(spark, 400, 8, 2, 5)
+    """Rows are the days with a return; splits that train on less than three quarters of them less 15 are left out."""
+    n = returns(spark, d).select("date").distinct().count()
+    return purged_splits(spark, n, 8, 2, 5, max(0, n * 3 // 4 - 15))
 
 
 @add("MET21_quarter_blocks", f"WITH {RETURNS}, i AS (SELECT symbol, date, ret, (row_number() OVER w - 1) // 63 AS q FROM returns WINDOW {W}) SELECT symbol, q, count(*) AS n, round(sum(ret), 6) AS total FROM i GROUP BY ALL HAVING count(*) >= 31")
@@ -316,11 +320,11 @@ def met23(spark, d):
     return x.agg(r(F.try_divide(F.var_samp("v") - c, F.var_samp("u") + F.var_samp("v") - 2 * c)).alias("weight"))
 
 
-@add("MET24_hurst", f"WITH {BARS}, l AS (SELECT symbol, k, ln(close) - lag(ln(close), CAST(k AS INTEGER)) OVER (PARTITION BY symbol, k ORDER BY date) AS x FROM bars, range(2, 20) g(k)), s AS (SELECT symbol, k, stddev_pop(x) AS t FROM l GROUP BY ALL) SELECT symbol, round(regr_slope(ln(t), ln(k)), 6) AS h FROM s WHERE t > 0 GROUP BY 1".replace("lag(ln(close), CAST(k AS INTEGER)) OVER (PARTITION BY symbol, k ORDER BY date)", "first_value(ln(close)) OVER (PARTITION BY symbol, k ORDER BY i RANGE BETWEEN k PRECEDING AND k PRECEDING)").replace("FROM bars, range(2, 20) g(k))", "FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM bars) b, range(2, 20) g(k))"))
+@add("MET24_hurst", f"WITH {BARS}, l AS (SELECT symbol, k, ln(close) - lag(ln(close), CAST(k AS INTEGER)) OVER (PARTITION BY symbol, k ORDER BY date) AS x FROM bars, range(2, 50) g(k)), s AS (SELECT symbol, k, stddev_pop(x) AS t FROM l GROUP BY ALL) SELECT symbol, round(regr_slope(ln(t), ln(k)), 6) AS h FROM s WHERE t > 0 GROUP BY 1".replace("lag(ln(close), CAST(k AS INTEGER)) OVER (PARTITION BY symbol, k ORDER BY date)", "first_value(ln(close)) OVER (PARTITION BY symbol, k ORDER BY i RANGE BETWEEN k PRECEDING AND k PRECEDING)").replace("FROM bars, range(2, 50) g(k))", "FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM bars) b, range(2, 50) g(k))"))
 def met24(spark, d):
     b = bars(spark, d).withColumn("g", F.ln("close"))
-    lags = b.select("symbol", *[(F.col("g") - F.lag("g", k).over(S.w)).alias(f"x{k}") for k in range(2, 20)])
-    lags = lags.select("symbol", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("x")) for k in range(2, 20)])))
+    lags = b.select("symbol", *[(F.col("g") - F.lag("g", k).over(S.w)).alias(f"x{k}") for k in range(2, 50)])
+    lags = lags.select("symbol", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("x")) for k in range(2, 50)])))
     t = lags.groupBy("symbol", "k").agg(F.stddev_pop("x").alias("t")).filter("t > 0")
     return t.groupBy("symbol").agg(r(F.regr_slope(F.ln("t"), F.ln("k"))).alias("h"))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from ..functions.stats import sharpe
 from ..functions.windows import Series, forward_fill, pct_change
 from ..operators.pit import walk_forward_folds, wide_as_of
 from ..operators.shards import clean_name, usable_readings
-from ..session import shared_folder
+from ..session import scratch
 from ..sources.stores import INDEX, METRICS, NEWS, SEQ, read_store, replace_family, upsert
 from .registry import Registry
 from .views import BARS, RETURNS, bars, returns, table
@@ -28,7 +27,7 @@ def us(c):
 
 
 def _store(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}/{name}"
+    return scratch(spark, name)
 
 
 @add("SNK01_upsert_metrics", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY event_ts, as_of_ts, coin, metric, source ORDER BY status = 'final' DESC, reading_id DESC) AS rn FROM onchain WHERE event_ts IS NOT NULL AND as_of_ts IS NOT NULL AND status IN ('flash', 'final')) SELECT coin, metric, source, epoch_us(event_ts) AS e, epoch_us(as_of_ts) AS a, status FROM k WHERE rn = 1")

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.folds import exponential_mean
 from ..functions.stats import change_points, expected_maximum, normal_cdf, permutation_null, sharpe
 from ..functions.windows import Series, log_change, rolling_mean, zscore
-from ..session import shared_folder, small
+from ..session import scratch, small
 from ..sources.stores import UNLOCKS, export_csv, read_csv, read_jsonl, read_store, stage_by, upsert
 from ..streaming.kslack import into_store
 from .registry import Registry
@@ -23,7 +22,7 @@ W = "w AS (PARTITION BY symbol ORDER BY date)"
 
 
 def folder(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}/{name}"
+    return scratch(spark, name)
 
 
 @add("SRC03_csv", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")

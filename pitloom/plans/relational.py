@@ -26,17 +26,16 @@ def as_of():
     return F.expr(_T)
 
 
-# --- sources and projections
+def exact(c):
+    """A number as a decimal, whose sums do not depend on the order of rows."""
+    return F.col(c).cast("decimal(38,9)")
 
 
-@add("SRC01_scan", "SELECT coin, metric, count(*) AS n, round(sum(CASE WHEN isnan(value) THEN 0 ELSE value END), 0) AS total FROM onchain WHERE abs(value) < 1e6 AND NOT isnan(value) GROUP BY ALL")
-def src01(spark, d):
-    rows = conform(table(spark, d, "onchain"), METRICS).filter("abs(value) < 1e6 AND NOT isnan(value)")
-    return rows.groupBy("coin", "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 0).alias("total"))
+# --- sources and projections
 
 
-@add("SRC01_scan_all", "SELECT coin, metric, count(*) AS n, count(*) FILTER (isfinite(value)) AS n_usable, sum(CASE WHEN isfinite(value) THEN CAST(CAST(value AS VARCHAR) AS DECIMAL(38,9)) END) AS total FROM onchain GROUP BY ALL")
-def src01_all(spark, d):
+@add("SRC01_scan", "SELECT coin, metric, count(*) AS n, count(*) FILTER (isfinite(value)) AS n_usable, sum(CASE WHEN isfinite(value) THEN CAST(CAST(value AS VARCHAR) AS DECIMAL(38,9)) END) AS total FROM onchain GROUP BY ALL")
+def src01(spark, d):
     usable = F.expr("abs(value) < double('Infinity') AND NOT isnan(value)")
     rows = conform(table(spark, d, "onchain"), METRICS)
     return rows.groupBy("coin", "metric").agg(F.count(F.lit(1)).alias("n"), F.count_if(usable).alias("n_usable"), F.sum(F.when(usable, F.col("value")).cast("decimal(38,9)")).alias("total"))
@@ -87,10 +86,10 @@ def prj05(spark, d):
 # --- filters
 
 
-@add("FLT01_pit_range", f"SELECT coin, metric, source, reading_id, epoch_us(event_ts) AS e, epoch_us(as_of_ts) AS a, value FROM onchain WHERE {E.format('event_ts')} BETWEEN TIMESTAMP '2023-06-01' AND {_T} AND {E.format('as_of_ts')} <= {_T} AND metric IN ('PriceUSD', 'TxCnt')")
+@add("FLT01_pit_range", f"SELECT coin, metric, source, reading_id, epoch_us(event_ts) AS e, epoch_us(as_of_ts) AS a, CASE WHEN NOT isnan(value) THEN value END AS value FROM onchain WHERE {E.format('event_ts')} BETWEEN TIMESTAMP '2023-06-01' AND {_T} AND {E.format('as_of_ts')} <= {_T} AND metric IN ('PriceUSD', 'TxCnt')")
 def flt01(spark, d):
     seen = known_at(table(spark, d, "onchain"), as_of(), F.expr("TIMESTAMP '2023-06-01'"), as_of()).filter(F.col("metric").isin("PriceUSD", "TxCnt"))
-    return seen.select("coin", "metric", "source", "reading_id", us("event_ts").alias("e"), us("as_of_ts").alias("a"), "value")
+    return seen.select("coin", "metric", "source", "reading_id", us("event_ts").alias("e"), us("as_of_ts").alias("a"), F.when(~F.isnan("value"), F.col("value")).alias("value"))
 
 
 @add("FLT02_pit_news", f"SELECT id, epoch_us(event_ts) AS e, epoch_us(as_of_ts) AS a FROM (SELECT DISTINCT id, event_ts, as_of_ts, symbols FROM news) WHERE {E.format('as_of_ts')} <= {_T} AND {E.format('event_ts')} >= TIMESTAMP '2023-01-01' AND {E.format('event_ts')} <= {_T} AND list_contains(list_transform(string_split(symbols, ','), lambda x: trim(x)), 'BTCUSD') ORDER BY e DESC, a DESC, id LIMIT 50")
@@ -320,7 +319,7 @@ def agg08(spark, d):
 
 @add("AGG09_last_row", "SELECT coin, arg_max(id, (epoch_us(logged_ts), id)) AS id FROM sizing GROUP BY coin")
 def agg09(spark, d):
-    return newest(table(spark, d, "sizing"), ["coin"], [F.desc("logged_ts"), F.desc("id")]).select("coin", "id")
+    return keep_last(table(spark, d, "sizing"), ["coin"], [F.col("logged_ts"), F.col("id")]).select("coin", "id")
 
 
 @add("AGG10_complete_pivot", f"WITH {_P} SELECT cycle_id, coin, max(v) FILTER (horizon = 7) AS h7, max(v) FILTER (horizon = 14) AS h14 FROM p GROUP BY ALL HAVING h7 IS NOT NULL AND h14 IS NOT NULL")
@@ -328,9 +327,9 @@ def agg10(spark, d):
     return jon05(spark, d).dropna(subset=["h7", "h14"])
 
 
-@add("AGG11_ledger", f"WITH {_TR} SELECT coin, round(sum(pnl), 4) AS pnl, round(sum(fees), 4) AS fees, round(count(*) FILTER (pnl > 0) / nullif(count(*) FILTER (pnl <> 0), 0), 4) AS win_rate FROM t GROUP BY coin")
+@add("AGG11_ledger", f"WITH {_TR} SELECT coin, sum(CAST(CAST(pnl AS VARCHAR) AS DECIMAL(38,9))) AS pnl, sum(CAST(CAST(fees AS VARCHAR) AS DECIMAL(38,9))) AS fees, round(count(*) FILTER (pnl > 0) / nullif(count(*) FILTER (pnl <> 0), 0), 4) AS win_rate FROM t GROUP BY coin")
 def agg11(spark, d):
-    return _trades(spark, d).groupBy("coin").agg(F.round(F.sum("pnl"), 4).alias("pnl"), F.round(F.sum("fees"), 4).alias("fees"), F.round(F.try_divide(F.count_if(F.col("pnl") > 0), F.count_if(F.col("pnl") != 0)), 4).alias("win_rate"))
+    return _trades(spark, d).groupBy("coin").agg(F.sum(exact("pnl")).alias("pnl"), F.sum(exact("fees")).alias("fees"), F.round(F.try_divide(F.count_if(F.col("pnl") > 0), F.count_if(F.col("pnl") != 0)), 4).alias("win_rate"))
 
 
 @add("AGG12_slippage", f"WITH {_TR} SELECT round(avg(slippage), 9) AS mean, max(slippage) AS worst, count(slippage) AS n FROM t")
@@ -359,9 +358,9 @@ def agg15(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total")).orderBy(F.desc("total"), "o_custkey").limit(20)
 
 
-@add("AGG16_with_total", f"WITH {_TR} SELECT coalesce(coin, '__all__') AS coin, count(*) AS n, round(sum(fees), 4) AS fees FROM t GROUP BY ROLLUP (coin)")
+@add("AGG16_with_total", f"WITH {_TR} SELECT coalesce(coin, '__all__') AS coin, count(*) AS n, sum(CAST(CAST(fees AS VARCHAR) AS DECIMAL(38,9))) AS fees FROM t GROUP BY ROLLUP (coin)")
 def agg16(spark, d):
-    return _trades(spark, d).rollup("coin").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("fees"), 4).alias("fees")).select(F.coalesce("coin", F.lit("__all__")).alias("coin"), "n", "fees")
+    return _trades(spark, d).rollup("coin").agg(F.count(F.lit(1)).alias("n"), F.sum(exact("fees")).alias("fees")).select(F.coalesce("coin", F.lit("__all__")).alias("coin"), "n", "fees")
 
 
 @add("AGG17_correlation", f"WITH {BARS} SELECT round(corr(a.close, b.close), 6) AS corr, round(covar_samp(a.close, b.close), 2) AS cov FROM bars a JOIN bars b ON a.date = b.date WHERE a.symbol = 'N' AND b.symbol = 'R'")

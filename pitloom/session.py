@@ -65,6 +65,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in a folder of its own under the shared folder, which `release` removes with the staged tables."""
+    path = os.path.join(shared_folder(spark), f"scratch-{uuid.uuid4().hex}")
+    _staged.append(path)
+    return f"{path}/{name}"
+
+
 def stage(df: DataFrame, arrow_batch: int | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,52 +34,84 @@ def conform(df: DataFrame, schema: str | T.StructType) -> DataFrame:
 
 def read_store(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Scan of a Parquet store; a store that does not exist is an empty table of that schema."""
+    known = _known(spark, root, schema)
+    return spark.createDataFrame([], schema) if known is None else known
+
+
+def shard_columns(ts: Column | str) -> list[Column]:
+    return [F.year(ts).alias("year"), F.month(ts).alias("month")]
+
+
+def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row per key, the last in the given order (NULLs first); combined before the shuffle, so a hot key is no burden."""
+    last = F.max_by(F.struct(*df.columns), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("_x")
+    grouped = df.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(last)
+    return grouped.select("_x.*")
+
+
+def _known(spark: SparkSession, root: str, schema: str) -> DataFrame | None:
+    """The store, or None if there is none yet; any other error is passed on."""
     try:
         return spark.read.schema(schema).parquet(root)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
             raise
-        return spark.createDataFrame([], schema)
+        return None
 
 
-def shard_columns(ts: Column | str) -> list[Column]:
-    return [F.year(ts).alias("year"), F.month(ts).alias("month")]
+def _swap(spark: SparkSession, staging: str, root: str) -> None:
+    """Puts the staged months in the place of the store's by renames; if one fails, those done before are taken back."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.Path(root))
+    done: list[tuple[str, str]] = []
 
+    def move(old: str, new: str) -> None:
+        fs.mkdirs(jvm.Path(os.path.dirname(new)))
+        if not fs.rename(jvm.Path(old), jvm.Path(new)):
+            raise OSError(f"{old} could not be moved to {new}")
+        done.append((old, new))
 
-def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the last in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    try:
+        for year in fs.listStatus(jvm.Path(staging)):
+            if not year.isDirectory():
+                continue
+            for month in fs.listStatus(year.getPath()):
+                part = f"{year.getPath().getName()}/{month.getPath().getName()}"
+                if fs.exists(jvm.Path(f"{root}/{part}")):
+                    move(f"{root}/{part}", f"{staging}/_old/{part}")
+                move(f"{staging}/{part}", f"{root}/{part}")
+    except BaseException:
+        for old, new in reversed(done):
+            fs.rename(jvm.Path(new), jvm.Path(old))
+        raise
+    fs.delete(jvm.Path(staging), True)
 
 
 def upsert(spark: SparkSession, batch: DataFrame, root: str, schema: str, keys: list[str], ts: str, merged: Callable[[DataFrame], DataFrame] | None = None) -> int:
     """Merges a batch into a store sharded by year and month of `ts`; rows of equal keys are replaced, the newest batch wins.
 
-    Within a batch the last row by `_batch_seq` wins, if there is such a column. Only the shards of the batch's months are read
-    and written: the new state goes to a staging folder first and then replaces them, so a failed job leaves the store
-    as it was. Returns the number of rows in the touched shards.
+    Within a batch the last row by `_batch_seq` wins, if there is such a column, else the last by content. Only the shards of the
+    batch's months are read and written: the new state goes to a staging folder, whose months then replace the store's by
+    renames. A job that fails before them leaves the store as it was, one that fails among them takes them back. Months of any size are
+    written by as many tasks as they need. Returns the number of rows in the touched shards.
     """
     has_seq = SEQ in batch.columns
-    seq = F.col(SEQ).cast("long") if has_seq else F.monotonically_increasing_id()
-    new = conform(batch, schema).withColumn("_new", F.lit(1)) if not has_seq else conform(batch, schema + f", {SEQ} long").withColumn("_new", F.lit(1))
-    new = new.withColumn("_seq", seq).drop(SEQ).select("*", *shard_columns(ts))
+    new = conform(batch, schema + (f", {SEQ} long" if has_seq else "")).withColumn("_new", F.lit(1))
+    new = new.withColumn("_seq", F.col(SEQ) if has_seq else F.lit(0).cast("long")).withColumn("_text", F.to_json(F.struct(*[c for c in new.columns if c not in ("_new", SEQ)]))).drop(SEQ).select("*", *shard_columns(ts))
     months = new.select("year", "month").distinct()
-    try:
-        old = spark.read.schema(schema + ", year int, month int").parquet(root)
+    old = _known(spark, root, schema + ", year int, month int")
+    both = new
+    if old is not None:
         old = old.join(small(months, 12_000), ["year", "month"], "left_semi")
-        both = new.unionByName(old.withColumn("_new", F.lit(0)).withColumn("_seq", F.lit(0).cast("long")))
-    except AnalysisException:
-        both = new
-    state = keep_last(both, keys, [F.col("_new"), F.col("_seq")]).drop("_new", "_seq")
+        both = new.unionByName(old.withColumn("_new", F.lit(0)).withColumn("_seq", F.lit(0).cast("long")).withColumn("_text", F.lit(None).cast("string")))
+    state = keep_last(both, keys, [F.col("_new"), F.col("_seq"), F.col("_text")]).drop("_new", "_seq", "_text")
     if merged is not None:
         state = merged(state)
     staging = os.path.join(os.path.dirname(root.rstrip("/")), f".staging-{uuid.uuid4().hex}")
-    state.repartition("year", "month").write.partitionBy("year", "month").parquet(staging)
-    done = spark.read.parquet(staging)
-    n = done.count()
-    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(root)
-    path = spark._jvm.org.apache.hadoop.fs.Path(staging)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    state.hint("rebalance", "year", "month").write.partitionBy("year", "month").parquet(staging)
+    n = spark.read.schema(schema + ", year int, month int").parquet(staging).count()
+    _swap(spark, staging, root)
     return n
 
 
@@ -128,6 +161,22 @@ def stable_id(*parts: str) -> Column:
     return F.conv(F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
 
+def tag_symbols(text: Column, words: dict[str, list[str]], default: str) -> Column:
+    """Comma list of the symbols of whose terms one is in the lower-cased text; the default where there is none. A term written
+    =word must be a whole word."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    tokens = F.split(low, r"\s+")
+    def hit(term: str) -> Column:
+        return F.array_contains(tokens, term[1:]) if term.startswith("=") else low.contains(term)
+    tags = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, map(hit, terms)), F.lit(symbol)) for symbol, terms in words.items()]))
+    return F.when(F.size(tags) > 0, F.array_join(tags, ",")).otherwise(F.lit(default))
+
+
+def without_tags(text: Column | str) -> Column:
+    """Text with its markup taken out, nothing put in its place, and trimmed; NULL is empty."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", ""), r"^\s+|\s+$", "")
+
+
 def strip_tags(text: Column | str) -> Column:
     """Text without markup, white space runs made one space."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"\s+", " "))
