@@ -72,17 +72,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _faults(spark, sf_dir).filter("impossible or stuck or spike").select("reading_id").distinct()
 
 
-def _as_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _as_known(spark: SparkSession, sf_dir: str, attributes: list[str]) -> DataFrame:
     requests = table(spark, sf_dir, "asof_requests").withColumn("coin", clean_name("coin"))
-    return as_known_at(requests, readings(spark, sf_dir), SERIES, ["value", "status"])
+    return as_known_at(requests, readings(spark, sf_dir), SERIES, attributes)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_known(spark, sf_dir).select("request_id", "reading_id").distinct()
+    return _as_known(spark, sf_dir, []).select("request_id", "reading_id").distinct()
 
 
 def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_known(spark, sf_dir).select("request_id", *SERIES, "reading_id", F.unix_micros("event_ts").alias("event_us"), "value", "status").distinct()
+    return _as_known(spark, sf_dir, ["value", "status"]).select("request_id", *SERIES, "reading_id", F.unix_micros("event_ts").alias("event_us"), "value", "status").distinct()
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
