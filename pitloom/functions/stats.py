@@ -89,7 +89,8 @@ def two_weights(mean_a: Column, mean_b: Column, var_a: Column, var_b: Column, co
     """First of two assets' weights in the tangency (no interest) and the least-variance portfolio, held within 0 to 1; 0.5 if undefined."""
     def share(a: Column, b: Column) -> Column:
         total = F.when(F.abs(a + b) > 1e-12, a + b)
-        return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(a, total))), F.lit(0.5))
+        x = F.try_divide(a, total)  # greatest and least would skip a NULL
+        return F.when(x.isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
     det = F.nullif(var_a * var_b - cov * cov, F.lit(0.0))
     first = share((var_b * mean_a - cov * mean_b) / det, (var_a * mean_b - cov * mean_a) / det)
     return first, share((var_b - cov) / det, (var_a - cov) / det)

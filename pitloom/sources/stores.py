@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import small
 
 METRICS = "event_ts timestamp, as_of_ts timestamp, coin string, metric string, value double, source string, status string"
 NEWS = "event_ts timestamp, as_of_ts timestamp, id long, headline string, content string, summary string, symbols string, source string, author string, url string"
@@ -21,6 +20,8 @@ UNLOCKS = "unlock_date timestamp, as_of_ts timestamp, coin string, amount_tokens
 BARS = "symbol string, date date, open double, high double, low double, close double, volume double"
 BOOK = "asof string, written_utc string, weights map<string,double>, realized_book_ret double, realized_mark_ret double"
 SEQ = "_batch_seq"
+#: A batch that touches more months than this reads the whole store.
+MONTHS = 1200
 
 
 def conform(df: DataFrame, schema: str | T.StructType) -> DataFrame:
@@ -99,11 +100,15 @@ def upsert(spark: SparkSession, batch: DataFrame, root: str, schema: str, keys:
     has_seq = SEQ in batch.columns
     new = conform(batch, schema + (f", {SEQ} long" if has_seq else "")).withColumn("_new", F.lit(1))
     new = new.withColumn("_seq", F.col(SEQ) if has_seq else F.lit(0).cast("long")).withColumn("_text", F.to_json(F.struct(*[c for c in new.columns if c not in ("_new", SEQ)]))).drop(SEQ).select("*", *shard_columns(ts))
-    months = new.select("year", "month").distinct()
+    number = F.col("year") * 12 + F.col("month")
+    months = [r[0] for r in new.select(number.alias("m")).distinct().limit(MONTHS + 1).collect()]
     old = _known(spark, root, schema + ", year int, month int")
     both = new
     if old is not None:
-        old = old.join(small(months, 12_000), ["year", "month"], "left_semi")
+        if len(months) <= MONTHS:  # the others' files are not opened
+            old = old.filter(number.isin(months))
+        else:
+            old = old.join(new.select("year", "month").distinct(), ["year", "month"], "left_semi")
         both = new.unionByName(old.withColumn("_new", F.lit(0)).withColumn("_seq", F.lit(0).cast("long")).withColumn("_text", F.lit(None).cast("string")))
     state = keep_last(both, keys, [F.col("_new"), F.col("_seq"), F.col("_text")]).drop("_new", "_seq", "_text")
     if merged is not None:
