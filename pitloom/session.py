@@ -87,6 +87,15 @@ def stage(df: DataFrame, arrow_batch: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes staged tables that no result is read from any more."""
+    for df in tables:
+        for path in [p for p in _staged if df.inputFiles() and f"/{os.path.basename(p)}/" in df.inputFiles()[0]]:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _staged.remove(path)
+
+
 _staged: list[str] = []
 
 
