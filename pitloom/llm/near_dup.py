@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small, stage
+from ..session import discard, small, stage
 from .bloom import likely
 from .copies import representatives
 from .hashing import U, distinct_sorted, mix, word_shingles
@@ -23,8 +23,10 @@ LIST = 16
 BLOCK = 2048
 #: Hot lists are compared together up to this many cells (pairs) at a time, and pairs listed up to STEP at a time.
 CELLS, STEP = 1 << 22, 1 << 21
-#: A list that is longer is cut by one more value of its sketches, which lies up to GAP places behind the last; keys have up to DEPTH values.
-GAP, DEPTH = 2, 4
+#: A list that is longer is cut by one more value of its sketches, which lies up to so many places behind the last: keys of 3 values, of 4.
+GAPS = (2, 2)
+#: Keys have 48 bits: two that are equal by chance cost candidates, but lose none.
+SHORT = U(16)
 #: Stands for the end of a sketch that retains its whole set.
 END = U(0x5851F42D4C957F2D)
 #: Shared lists that make two sketches candidates.
@@ -95,16 +97,21 @@ def _sketch_batches(batches, width: int, min_words: int, retained: int):
         yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "digest", "n", "sketch"])
 
 
+def _version():
+    """Orders the rows of an id; equal versions by content, everywhere alike."""
+    return F.struct(F.col("version").alias("v"), F.xxhash64("text").alias("h")).alias("version")
+
+
 def sketches(texts: DataFrame, width: int, min_words: int, retained: int = RETAINED) -> tuple[DataFrame, DataFrame]:
     """Bottom-k sketches of the distinct shingles of each id's latest text. texts: id, version, text.
 
     Returns (members, sketches), both staged. members: id, rep (smallest id whose set of shingles is the same). sketches: one
     row per rep: rep, n (size of the set), sketch.
     """
-    one = texts.select("id", "version", "text").filter(F.col("id").isNotNull())
+    one = texts.select("id", _version(), "text").filter(F.col("id").isNotNull())
     kinds = dict(one.dtypes)
     rows = one.mapInArrow(partial(_sketch_batches, width=width, min_words=min_words, retained=retained), f"id {kinds['id']}, version {kinds['version']}, digest binary, n int, sketch binary")
-    newest = rows.groupBy("id").agg(F.max_by(F.struct("digest", "n", "sketch"), F.struct("version", "digest")).alias("_x")).select("id", "_x.*").filter(F.col("n") > 0)
+    newest = rows.groupBy("id").agg(F.max_by(F.struct("digest", "n", "sketch"), "version").alias("_x")).select("id", "_x.*").filter(F.col("n") > 0)
     newest = stage(newest, arrow_batch=2000)
     members = stage(representatives(newest, "id", ["digest"]))
     copies = small(members.filter(F.col("id") != F.col("rep")).select("id"))
@@ -137,11 +144,11 @@ def _post_batches(batches, retained: int):
         places = np.concatenate([np.int64(3) << at[follows], *[np.int64(1) << at[tiny]] * SHARED])
         owner = np.concatenate([owner[follows], *[owner[tiny]] * SHARED])
         salt = np.repeat(np.arange(SHARED + 1), [follows.sum(), *[tiny.sum()] * SHARED]).astype(U)
-        yield _postings(_keys(values, start, owner, places) + salt, docs[owner], places)
+        yield _postings(mix(_keys(values, start, owner, places) + salt), docs[owner], places)
 
 
 def _postings(key: np.ndarray, doc: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(places, pa.int64())], names=["key", "doc", "places"])
+    return pa.RecordBatch.from_arrays([pa.array((key >> SHORT).view(np.int64)), pa.array(doc), pa.array(places, pa.int64())], names=["key", "doc", "places"])
 
 
 def _listed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +158,7 @@ def _listed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.concatenate(lists) if lists else np.empty(0, dtype=np.int64)
 
 
-def _longer_batches(batches, retained: int):
+def _longer_batches(batches, retained: int, gaps: int):
     """The keys of hot lists with one more value each; a key that ends where its sketch ends stays as it is."""
     for b in batches:
         values, start = _unpack(b.column("sketch").to_pylist())
@@ -162,11 +169,11 @@ def _longer_batches(batches, retained: int):
         size = np.diff(start)[owner]
         stop = size + (n[owner] <= retained)  # a whole set has END as one more value
         got = [(owner[last + 1 >= stop], places[last + 1 >= stop])]
-        for gap in range(1, GAP + 1):
+        for gap in range(1, gaps + 1):
             fits = last + gap < stop
             got.append((owner[fits], places[fits] | (np.int64(1) << (last[fits] + gap))))
         owner, places = (np.concatenate(x) for x in zip(*got))
-        yield _postings(_keys(values, start, owner, places), docs[owner], places)
+        yield _postings(mix(_keys(values, start, owner, places)), docs[owner], places)
 
 
 def _list_batches(batches, longest: int, final: bool):
@@ -370,25 +377,32 @@ def hot_pairs(hot: DataFrame, least: float, retained: int = RETAINED, block: int
 
 
 def candidates(sketched: DataFrame, longest: int = LIST, retained: int = RETAINED, least: float = 0.0) -> DataFrame:
-    """Pairs of representatives that share retained values: a, b, shared (weight of the shared lists).
+    """Pairs of representatives that share SHARED lists of retained values: a, b, shared (weight of the shared lists); staged.
 
     A list holds the sketches in which the same two retained values follow each other. Lists up to `longest` give all their
-    pairs. A longer list says little, so its sketches are listed again under one more value each, of those up to GAP places
-    further, and again if such a list is long. Of long lists of DEPTH values, all pairs come out that pass the estimate
+    pairs. A longer list says little, so its sketches are listed again under one more value each, of those up to some places
+    further (GAPS), and again if such a list is long. Of lists that are long to the end, all pairs come out that pass the estimate
     with `least`, with the weight SHARED. No list is left out or cut short.
     """
+    kept = []
+
     def lists(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
         level = stage(posted.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_list_batches, longest=longest, final=False), "a long, b long, places long"))
-        hot = level.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.collect_set("places").alias("places"))  # a sketch has few places
-        return level.filter(F.col("b").isNotNull()).select("a", "b"), sketched.join(hot, "rep")
+        kept.append(level)
+        hot = stage(level.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.collect_set("places").alias("places")))  # a sketch has few places
+        kept.append(hot)
+        return level.filter(F.col("b").isNotNull()).select("a", "b"), likely(sketched, hot.select("rep"), "rep").join(hot, "rep")
 
     posting = "key long, doc long, places long"
     pairs, hot = lists(sketched.mapInArrow(partial(_post_batches, retained=retained), posting))
-    for _ in range(DEPTH - 2):
-        close, hot = lists(hot.mapInArrow(partial(_longer_batches, retained=retained), posting))
+    for gaps in GAPS:
+        close, hot = lists(hot.mapInArrow(partial(_longer_batches, retained=retained, gaps=gaps), posting))
         pairs = pairs.unionByName(close)
-    pairs = pairs.withColumn("weight", F.lit(1)).unionByName(stage(hot_pairs(hot, least, retained)).withColumn("weight", F.lit(SHARED)))
-    return pairs.groupBy("a", "b").agg(F.sum("weight").alias("shared"))
+    last = stage(hot_pairs(hot, least, retained))
+    pairs = pairs.withColumn("weight", F.lit(1)).unionByName(last.withColumn("weight", F.lit(SHARED)))
+    out = stage(pairs.groupBy("a", "b").agg(F.sum("weight").alias("shared")).filter(F.col("shared") >= SHARED))
+    discard(*kept, last)
+    return out
 
 
 def _matrix(packed: list[bytes], width: int) -> np.ndarray:
@@ -417,28 +431,24 @@ def _estimate_batches(batches, least: float, retained: int):
         yield b.filter(pa.array(_alike(both, least, retained))).select(["a", "b"])
 
 
-def _set_batches(batches, width: int):
+def _verify_batches(batches, least: float, width: int):
+    """Exact similarity of pairs of texts; each text of a batch is hashed once."""
     for b in batches:
-        texts = [t or "" for t in b.column("text").to_pylist()]
-        sets = []
+        both = [b.column(c).dictionary_encode() for c in ("text_a", "text_b")]
+        texts = list(dict.fromkeys(t for d in both for t in d.dictionary.to_pylist()))
+        at, sets = {t: i for i, t in enumerate(texts)}, []
         for lo, hi in _parts(texts, PART):
             h, owner, _ = word_shingles(texts[lo:hi], width)
             h, owner = distinct_sorted(h, owner)
-            at = _groups(owner, hi - lo)
-            sets += [h[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("version"), pa.array(sets, pa.binary())], names=["id", "version", "words"])
-
-
-def _verify_batches(batches, least: float):
-    for b in batches:
-        score = []
-        for x, y in zip(b.column("words_a").to_pylist(), b.column("words_b").to_pylist()):
-            u, v = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
+            part = _groups(owner, hi - lo)
+            sets += [h[part[i] : part[i + 1]] for i in range(hi - lo)]
+        score = np.zeros(b.num_rows)
+        for k, (x, y) in enumerate(zip(*(d.to_pylist() for d in both))):
+            u, v = sets[at[x]], sets[at[y]]
             common = len(np.intersect1d(u, v, assume_unique=True))
-            score.append(common / max(1, len(u) + len(v) - common))
-        s = np.array(score)
-        kept = b.select(["a", "b"]).append_column("jaccard", pa.array(s, pa.float64()))
-        yield kept.filter(pa.array(s >= least, pa.bool_()))
+            score[k] = common / max(1, len(u) + len(v) - common)
+        kept = b.select(["a", "b"]).append_column("jaccard", pa.array(score, pa.float64()))
+        yield kept.filter(pa.array(score >= least, pa.bool_()))
 
 
 def near_duplicates(texts: DataFrame, width: int = 5, threshold: float = 0.8, min_words: int = 1, retained: int = RETAINED, longest: int = LIST) -> tuple[DataFrame, DataFrame]:
@@ -457,17 +467,17 @@ def near_duplicates(texts: DataFrame, width: int = 5, threshold: float = 0.8, mi
     nothing, equal versions are decided by content. An empty table gives two empty results. Extra columns are ignored.
     """
     members, sketched = sketches(texts, width, min_words, retained)
-    pairs = stage(candidates(sketched, longest, retained, 0.55 * threshold).filter(F.col("shared") >= SHARED).select("a", "b"))
+    pairs = candidates(sketched, longest, retained, 0.55 * threshold).select("a", "b")
     ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
     own = likely(sketched.select("rep", "sketch"), ends, "rep")
     both = pairs.join(own.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(own.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     close = stage(both.mapInArrow(partial(_estimate_batches, least=0.55 * threshold, retained=retained), "a long, b long"))
     needed = stage(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    kinds = dict(texts.dtypes)
-    sets = likely(texts.select("id", "version", "text"), needed, "id").join(needed, "id").mapInArrow(partial(_set_batches, width=width), f"id {kinds['id']}, version {kinds['version']}, words binary")
-    sets = sets.groupBy("id").agg(F.max_by("words", F.struct("version", "words")).alias("words"))
-    full = close.join(sets.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
-    links = stage(full.mapInArrow(partial(_verify_batches, least=threshold), "a long, b long, jaccard double"), arrow_batch=2000)
+    # texts are sent instead of their sets of hashes, as they are shorter when compressed
+    whole = likely(texts.select("id", "version", "text"), needed, "id").join(needed, "id")
+    whole = stage(whole.groupBy("id").agg(F.max_by("text", _version()).alias("text")), arrow_batch=1000)
+    full = close.join(whole.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(whole.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    links = stage(full.mapInArrow(partial(_verify_batches, least=threshold, width=width), "a long, b long, jaccard double"), arrow_batch=2000)
     return links, members
 
 
