@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import small, stage
 
 #: Records of a source that one range of the random key holds, about; the number of ranges is a power of two, at least LEAST.
 RECORDS, LEAST = 100_000, 64
-#: How often each source is searched for one more record that fits into what is left of its budget.
-FILLS = 3
+#: How often each source is cut again behind the records that straddle a cut, and then searched for one more record that fits.
+CUTS, FILLS = 3, 3
 
 
 def budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
@@ -31,7 +31,17 @@ def budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> D
     return both.withColumn("budget", F.least(F.floor(F.col("_total") * F.col("target_share") + 1e-6).cast("long"), most)).drop("_total")
 
 
-def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0, ranges: int | None = None, fills: int = FILLS) -> tuple[DataFrame, DataFrame]:
+def _ends(rows: DataFrame) -> DataFrame:
+    """rows with `_end`, the tokens of their source up to each of them in the order of the key: sums of ranges, then within a range."""
+    rows = rows.drop("_end")
+    sums = rows.groupBy("source", "_range").agg(F.sum("tokens").alias("_sum"))
+    upto = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("source", "_range", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_offset"))
+    own = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_within", F.sum("tokens").over(own)).join(offsets, ["source", "_range"]).withColumn("_end", F.col("_offset") + F.col("_within")).drop("_within", "_offset")
+
+
+def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0, ranges: int | None = None, cuts: int = CUTS, fills: int = FILLS) -> tuple[DataFrame, DataFrame]:
     """Chooses and repeats records so that each source gives its share of the tokens. Returns (chosen, report).
 
     sizes: doc_id, source, tokens. targets: source, target_share, max_repeats. chosen: doc_id, source, tokens, times (1 or more).
@@ -41,8 +51,9 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     Method: each record has a hash-random key; a source is cut into ranges of the key, the tokens of each range are summed
     (combined before the shuffle), and the running sum over ranges plus the one inside a range is the record's place in
     its source. A source repeats as a whole while its budget lasts; the last epoch is cut at the exact budget: the record
-    that straddles it is left out, and of the records behind the cut the largest that fits into the rest of the budget is taken
-    (the first by key of equal ones), up to `fills` times a source. So no source gets more than its budget. No source is sorted in one task.
+    that straddles it is left out, and those behind it that are not larger than what is left are cut again at that, in the order
+    of the key, up to `cuts` times; then the largest that fits is taken (the first by key of equal ones), up to `fills` times a
+    source. So no source gets more than its budget. No source is sorted in one task.
 
     Sources without a target, NULL sources and records without tokens are left out. A target without documents gives a
     report row with 0 tokens; the others then share the mix in proportion. Repeated targets count once, repeated doc_ids as
@@ -56,31 +67,32 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     bounded = F.broadcast(bounded) if bounded_plan else bounded
     key = F.xxhash64(F.lit(seed), "doc_id")
     keyed = known.join(bounded, "source").withColumn("_key", key).withColumn("_range", F.shiftrightunsigned(key, 64 - (ranges.bit_length() - 1)).cast("int"))
-    sums = keyed.groupBy("source", "_range").agg(F.sum("tokens").alias("_sum"))
-    upto = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "_range", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_offset"))
-    own = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = keyed.withColumn("_own", F.sum("tokens").over(own)).join(offsets, ["source", "_range"])
-    end = F.col("_offset") + F.col("_own")
+    placed = _ends(keyed)
+    end = F.col("_end")
     epochs = F.floor(F.col("budget") / F.col("available")).cast("long")
     rest = F.col("budget") - epochs * F.col("available")
     inside = (end <= rest) & (epochs < F.col("max_repeats"))
-    placed = stage(placed.select("doc_id", "source", "tokens", "_key", "_own", "_range", epochs.cast("int").alias("_epochs"), inside.alias("_in"), rest.alias("_rest")))
+    placed = stage(placed.select("doc_id", "source", "tokens", "_key", F.col("_end").alias("_own"), "_range", epochs.cast("int").alias("_epochs"), inside.alias("_in"), rest.alias("_rest")))
     left = placed.groupBy("source", "_rest").agg(F.sum(F.when(F.col("_in"), F.col("tokens")).otherwise(F.lit(0))).alias("_used")).select("source", (F.col("_rest") - F.col("_used")).alias("_left"))
     place = F.struct(F.col("tokens"), (-F.col("_key").cast("decimal(20,0)")).alias("k"), F.col("doc_id"), F.col("_own"))
+    names = ["source", "_key", "doc_id", "_own"]
     extra = None
-    for _ in range(fills):  # one row a source each
-        left = stage(left)
+    for k in range(cuts + fills):
+        left = stage(left)  # one row a source
         behind = placed.filter(~F.col("_in")).join(F.broadcast(left) if bounded_plan else left, "source").filter(F.col("tokens") <= F.col("_left"))
         if extra is not None:
-            behind = behind.join(extra, ["source", "_key", "doc_id", "_own"], "left_anti")
-        best = stage(behind.groupBy("source").agg(F.max(place).alias("_b")).select("source", F.col("_b.tokens").alias("tokens"), (-F.col("_b.k")).cast("long").alias("_key"), F.col("_b.doc_id").alias("doc_id"), F.col("_b._own").alias("_own")))
-        left = left.join(best.select("source", "tokens"), "source", "left").select("source", (F.col("_left") - F.coalesce("tokens", F.lit(0))).alias("_left"))
-        best = best.drop("tokens")
-        extra = best if extra is None else extra.unionByName(best)
+            behind = behind.join(extra, names, "left_anti")
+        if k < cuts:
+            more = _ends(behind).filter(F.col("_end") <= F.col("_left")).select(*names, "tokens")
+        else:
+            more = behind.groupBy("source").agg(F.max(place).alias("_b")).select("source", (-F.col("_b.k")).cast("long").alias("_key"), F.col("_b.doc_id").alias("doc_id"), F.col("_b._own").alias("_own"), F.col("_b.tokens").alias("tokens"))
+        more = stage(more)
+        used = more.groupBy("source").agg(F.sum("tokens").alias("_used"))
+        left = left.join(used, "source", "left").select("source", (F.col("_left") - F.coalesce("_used", F.lit(0))).alias("_left"))
+        extra = more.drop("tokens") if extra is None else extra.unionByName(more.drop("tokens"))
     if extra is not None:
         extra = extra.withColumn("_extra", F.lit(1))
-        placed = placed.join(F.broadcast(extra) if bounded_plan else extra, ["source", "_key", "doc_id", "_own"], "left")
+        placed = placed.join(small(stage(extra)), names, "left")
     more = F.coalesce("_extra", F.lit(0)) if extra is not None else F.lit(0)
     chosen = stage(placed.select("doc_id", "source", "tokens", (F.col("_epochs") + F.col("_in").cast("int") + more).cast("int").alias("times")).filter("times > 0"))
     got = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("tokens") * F.col("times")).alias("tokens"), F.max("times").alias("repeats"))
