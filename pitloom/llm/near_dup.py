@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,21 +17,26 @@ from .hashing import U, distinct_sorted, mix, word_shingles
 
 #: Values that a sketch retains, and the bytes kept of each (the highest ones).
 RETAINED, BYTES = 48, 5
-#: An inverted list up to this length gives all its pairs; of a longer one, only pairs that pass the estimate come out.
+#: An inverted list up to this length gives its pairs; a longer one is cut by one more value of its sketches, and once again. Of
+#: lists that are longer even then, only pairs that pass the estimate come out.
 LIST = 16
+#: A posting has the values that come next behind its key, with 16 bits of each, so that lists are cut where they are.
+AHEAD = 4
+#: The next value that a long list is cut by lies up to so many places behind the last.
+GAP = 3
+#: A list of more postings is not held at once: its postings are sent again under one more value.
+HELD = 1 << 18
 #: A longer list is cut into parts of about this many sketches; every two parts are compared by a task of their own.
 BLOCK = 2048
 #: Hot lists are compared together up to this many cells (pairs) at a time, and pairs listed up to STEP at a time.
 CELLS, STEP = 1 << 22, 1 << 21
-#: A list that is longer is cut by one more value of its sketches, which lies up to so many places behind the last: keys of 3 values, of 4.
-GAPS = (2, 2)
-#: Keys have 48 bits: two that are equal by chance cost candidates, but lose none.
-SHORT = U(16)
+#: Keys have 41 bits, which leaves 7 of 6 bytes: two that are equal by chance cost candidates, but lose none.
+SHORT = U(23)
 #: Stands for the end of a sketch that retains its whole set.
 END = U(0x5851F42D4C957F2D)
-#: Shared lists that make two sketches candidates.
-SHARED = 3
-#: Sets up to twice this size are also listed under single values, SHARED times, as few neighbours are left to share in them.
+#: Shared lists that make two sketches candidates; to share a list is to have one more value in common behind its key.
+SHARED = 2
+#: Sets up to twice this size are also listed under single values, with the weight SHARED, as few neighbours are left to share in them.
 TINY = 12
 #: Texts are hashed in parts of about this many characters.
 PART = 2_000_000
@@ -132,7 +137,10 @@ def _keys(values: np.ndarray, start: np.ndarray, owner: np.ndarray, places: np.n
 
 
 def _post_batches(batches, retained: int):
-    """Keys of two values in a row. A whole set ends with END, so that small sets have keys as well; tiny ones also have single values."""
+    """Keys of two values in a row. A whole set ends with END, so that small sets have keys as well; tiny ones also have single values.
+
+    key: 41 bits, then one bit for single values, then 6 bits for the place of the first value; next: what comes behind.
+    """
     for b in batches:
         values, start = _unpack(b.column("sketch").to_pylist())
         docs = b.column("rep").to_numpy(zero_copy_only=False)
@@ -141,14 +149,23 @@ def _post_batches(batches, retained: int):
         at = np.arange(len(values)) - start[owner]
         follows = (at + 1 < np.diff(start)[owner]) | (n[owner] <= retained)
         tiny = n[owner] <= 2 * TINY
-        places = np.concatenate([np.int64(3) << at[follows], *[np.int64(1) << at[tiny]] * SHARED])
-        owner = np.concatenate([owner[follows], *[owner[tiny]] * SHARED])
-        salt = np.repeat(np.arange(SHARED + 1), [follows.sum(), *[tiny.sum()] * SHARED]).astype(U)
-        yield _postings(mix(_keys(values, start, owner, places) + salt), docs[owner], places)
+        single = np.repeat([0, 1], [follows.sum(), tiny.sum()])
+        at, owner = np.concatenate([at[follows], at[tiny]]), np.concatenate([owner[follows], owner[tiny]])
+        key = _keys(values, start, owner, (np.int64(3) - 2 * single) << at)
+        key = (key >> SHORT << U(7)) | (single << 6 | at).astype(U)
+        pieces = _piece(values)
+        end = np.where(n <= retained, _piece(np.array([END]))[0], 0)[owner]
+        ahead = np.empty((len(at), AHEAD), dtype="<u2")
+        size = np.diff(start)[owner]
+        for k in range(AHEAD):
+            to = at + 2 - single + k
+            ahead[:, k] = np.where(to < size, pieces[np.minimum(start[owner] + to, len(values) - 1)], end) if len(at) else 0
+        yield pa.RecordBatch.from_arrays([pa.array(ahead.view("<i8").ravel()), pa.array(key.view(np.int64)), pa.array(docs[owner])], names=["next", "key", "doc"])
 
 
-def _postings(key: np.ndarray, doc: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array((key >> SHORT).view(np.int64)), pa.array(doc), pa.array(places, pa.int64())], names=["key", "doc", "places"])
+def _piece(values: np.ndarray) -> np.ndarray:
+    """16 bits of each value, never 0, which stands for no value."""
+    return np.maximum(mix(values) >> U(48), U(1)).astype(np.uint16)
 
 
 def _listed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -158,22 +175,117 @@ def _listed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.concatenate(lists) if lists else np.empty(0, dtype=np.int64)
 
 
-def _longer_batches(batches, retained: int, gaps: int):
-    """The keys of hot lists with one more value each; a key that ends where its sketch ends stays as it is."""
-    for b in batches:
-        values, start = _unpack(b.column("sketch").to_pylist())
-        docs = b.column("rep").to_numpy(zero_copy_only=False)
-        n = b.column("n").to_numpy(zero_copy_only=False)
-        owner, places = _listed(b)
-        last = np.frexp(places.astype(np.float64))[1].astype(np.int64) - 1
-        size = np.diff(start)[owner]
-        stop = size + (n[owner] <= retained)  # a whole set has END as one more value
-        got = [(owner[last + 1 >= stop], places[last + 1 >= stop])]
-        for gap in range(1, gaps + 1):
-            fits = last + gap < stop
-            got.append((owner[fits], places[fits] | (np.int64(1) << (last[fits] + gap))))
-        owner, places = (np.concatenate(x) for x in zip(*got))
-        yield _postings(mix(_keys(values, start, owner, places)), docs[owner], places)
+def _cut(key: np.ndarray, doc: np.ndarray, places: np.ndarray, ahead: np.ndarray, gap: int):
+    """The postings under one more value each, up to `gap` places behind the last; from: the numbers of the old postings."""
+    got = []
+    last = np.frexp(places.astype(np.float64))[1].astype(np.int64) - 1
+    for k in range(gap):
+        at = np.flatnonzero((ahead[:, k] > 0) & (ahead[:, k] != ahead[:, k - 1] if k else True))  # END comes once
+        rest = np.zeros((len(at), AHEAD), dtype=np.uint16)
+        rest[:, : AHEAD - k - 1] = ahead[at, k + 1 :]
+        got.append((mix(key[at] + ahead[at, k].astype(U) + U(1)), doc[at], places[at] | (np.int64(1) << (last[at] + k + 1)), rest, at))
+    return tuple(np.concatenate(x) for x in zip(*got))
+
+
+def _meet(key: np.ndarray, doc: np.ndarray, places: np.ndarray, ahead: np.ndarray, single: np.ndarray, depth: int, longest: int):
+    """Pairs of whole lists, sorted by key (a, b, number of a posting in their list), and the postings of those that are long to the end (doc, places).
+
+    depth: how many values the lists have been cut by. Two postings of a list that is not cut also need a value in common among
+    those that come next, unless the list is one of single values.
+    """
+    a, b, origin = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    hot = [(np.empty(0, dtype=np.int64),) * 2]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
+    length = np.diff(np.append(first, len(key)))
+    for size in np.unique(length[(length > 1) & (length <= longest)]):
+        at = first[length == size]
+        i, j = np.triu_indices(size, 1)
+        x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+        if depth == 0:
+            both = single[x].copy()
+            for k in range(AHEAD):
+                u = ahead[x, k]
+                some = u > 0
+                for m in range(AHEAD):
+                    both |= some & (u == ahead[y, m])
+            x, y = x[both], y[both]
+        differ = doc[x] != doc[y]
+        x, y = x[differ], y[differ]
+        a.append(np.minimum(doc[x], doc[y]))
+        b.append(np.maximum(doc[x], doc[y]))
+        origin.append(x)
+    at = np.flatnonzero(np.repeat(length, length) > longest)
+    if len(at) and depth == 2:
+        hot.append((doc[at], places[at]))
+    elif len(at):
+        start = np.repeat(first, length)[at]  # stands for the list
+        k2, d2, p2, n2, back = _cut(key[at], doc[at], places[at], ahead[at], AHEAD if depth else GAP)
+        order = np.argsort(k2, kind="stable")
+        u, v, of, left = _meet(k2[order], d2[order], p2[order], n2[order], single[at][back[order]], depth + 1, longest)
+        of = start[back[order[of]]]
+        once = np.unique(mix(mix(of.astype(U) + mix(u)) + v.astype(U)), return_index=True)[1]  # a pair counts once in a list
+        a.append(u[once])
+        b.append(v[once])
+        origin.append(of[once])
+        hot.append(left)
+    return np.concatenate(a), np.concatenate(b), np.concatenate(origin), tuple(np.concatenate(x) for x in zip(*hot))
+
+
+MET = "a long, b long, places long, key long, next long"
+
+
+def _meet_batches(batches, longest: int, held: int, depth: int):
+    """Reads postings sorted by key: pairs of lists (see `_meet`), postings that are left in long lists (b and key are NULL), and
+    the postings of lists of more than `held` under one more value (b is NULL). No more than `held` and a batch are held.
+    """
+
+    def rows(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n = len(columns["a"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(n, pa.int64()) for c in ("a", "b", "places", "key", "next")], names=["a", "b", "places", "key", "next"])
+
+    def again(key, doc, places, ahead, single):
+        k, d, p, n, _ = _cut(key, doc, places, ahead, AHEAD if depth else GAP)
+        return rows({"a": d, "places": p, "key": k.view(np.int64), "next": np.ascontiguousarray(n).view("<i8").ravel()})
+
+    def whole(*lists):
+        a, b, origin, (d, p) = _meet(*lists, depth, longest)
+        single = lists[4][origin]
+        if len(a):
+            a, b = (np.concatenate([x, *[x[single]] * (SHARED - 1)]) for x in (a, b))
+            yield rows({"a": a, "b": b})
+        if len(d):
+            yield rows({"a": d, "places": p})
+
+    kept, long = None, None
+    for batch in batches:
+        key, doc, ahead = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc", "next"))
+        if not len(key):
+            continue
+        if depth:
+            places, single = batch.column("places").to_numpy(zero_copy_only=False), np.zeros(len(key), dtype=bool)
+        else:
+            single = (key >> 6 & 1).astype(bool)
+            places = (np.int64(3) - 2 * single) << (key & 63)
+            key = key >> 6
+        t = (key.astype(U), doc, places, np.ascontiguousarray(ahead).view("<u2").reshape(-1, AHEAD), single)
+        more = int(np.searchsorted(key, key[0], side="right")) if long == key[0] else 0
+        if more:
+            yield again(*(x[:more] for x in t))
+            t = tuple(x[more:] for x in t)
+            if more == len(key):
+                continue
+        if kept is not None:
+            t = tuple(np.concatenate(x) for x in zip(kept, t))
+        key = t[0].view(np.int64)
+        cut = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
+        if cut:
+            yield from whole(*(x[:cut] for x in t))
+        kept = tuple(x[cut:].copy() for x in t)
+        if len(kept[0]) > held:
+            yield again(*kept)
+            kept, long = None, key[-1]
+    if kept is not None:
+        yield from whole(*kept)
 
 
 def _list_batches(batches, longest: int, final: bool):
@@ -376,32 +488,30 @@ def hot_pairs(hot: DataFrame, least: float, retained: int = RETAINED, block: int
     return posted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_block_batches, least=least, retained=retained), "a long, b long")
 
 
-def candidates(sketched: DataFrame, longest: int = LIST, retained: int = RETAINED, least: float = 0.0) -> DataFrame:
+def candidates(sketched: DataFrame, longest: int = LIST, retained: int = RETAINED, least: float = 0.0, held: int | None = None) -> DataFrame:
     """Pairs of representatives that share SHARED lists of retained values: a, b, shared (weight of the shared lists); staged.
 
-    A list holds the sketches in which the same two retained values follow each other. Lists up to `longest` give all their
-    pairs. A longer list says little, so its sketches are listed again under one more value each, of those up to some places
-    further (GAPS), and again if such a list is long. Of lists that are long to the end, all pairs come out that pass the estimate
-    with `least`, with the weight SHARED. No list is left out or cut short.
+    A list holds the sketches in which the same two retained values follow each other. Two sketches share it if they also have one
+    of the next AHEAD values in common. Postings carry these, so lists longer than `longest`, which say little, are cut by one
+    more value and once again where they are; only those of more than `held` postings are sent again for that. Of lists that are
+    long to the end, all pairs come out that pass the estimate with `least`, with the weight SHARED. No list is left out or cut short.
     """
-    kept = []
-
-    def lists(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-        level = stage(posted.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_list_batches, longest=longest, final=False), "a long, b long, places long"))
-        kept.append(level)
-        hot = stage(level.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.collect_set("places").alias("places")))  # a sketch has few places
-        kept.append(hot)
-        return level.filter(F.col("b").isNotNull()).select("a", "b"), likely(sketched, hot.select("rep"), "rep").join(hot, "rep")
-
-    posting = "key long, doc long, places long"
-    pairs, hot = lists(sketched.mapInArrow(partial(_post_batches, retained=retained), posting))
-    for gaps in GAPS:
-        close, hot = lists(hot.mapInArrow(partial(_longer_batches, retained=retained, gaps=gaps), posting))
-        pairs = pairs.unionByName(close)
-    last = stage(hot_pairs(hot, least, retained))
-    pairs = pairs.withColumn("weight", F.lit(1)).unionByName(last.withColumn("weight", F.lit(SHARED)))
+    held = max(longest, held or HELD)
+    work = partial(_meet_batches, longest=longest, held=held)
+    posted = sketched.mapInArrow(partial(_post_batches, retained=retained), "next long, key long, doc long")
+    levels = [stage(posted.repartition(F.shiftrightunsigned("key", 6)).sortWithinPartitions("key").mapInArrow(partial(work, depth=0), MET))]
+    for depth in (1, 2):
+        longer = levels[-1].filter(F.col("key").isNotNull())
+        if longer.isEmpty():
+            break
+        longer = longer.select("key", F.col("a").alias("doc"), "places", "next").repartition("key").sortWithinPartitions("key")
+        levels.append(stage(longer.mapInArrow(partial(work, depth=1), MET) if depth == 1 else longer.mapInArrow(partial(_list_batches, longest=longest, final=False), "a long, b long, places long").withColumn("key", F.lit(None).cast("long"))))
+    met = reduce(DataFrame.unionByName, [x.select("a", "b", "places", "key") for x in levels])
+    hot = stage(met.filter("b IS NULL AND key IS NULL").groupBy(F.col("a").alias("rep")).agg(F.collect_set("places").alias("places")))  # a sketch has few places
+    last = stage(hot_pairs(likely(sketched, hot.select("rep"), "rep").join(hot, "rep"), least, retained))
+    pairs = met.filter("b IS NOT NULL").select("a", "b", F.lit(1).alias("weight")).unionByName(last.withColumn("weight", F.lit(SHARED)))
     out = stage(pairs.groupBy("a", "b").agg(F.sum("weight").alias("shared")).filter(F.col("shared") >= SHARED))
-    discard(*kept, last)
+    discard(*levels, hot, last)
     return out
 
 

@@ -109,6 +109,39 @@ def test_large_group_keeps_its_pairs(spark, monkeypatch):
     assert len(got) == len(set(got)) and len(want & set(got)) >= 0.9998 * len(want)
 
 
+@pytest.mark.parametrize("held", [1, 40])
+def test_lists_that_are_not_held_lose_no_pairs(spark, held):
+    """Lists of more postings than are held at once are sent again, to the same lists in the end."""
+    rows = variants(150) + [(1000 + i, 1, " ".join(f"y{i % 7}z{k}" for k in range(40 + i))) for i in range(20)]
+    _, sketched = near_dup.sketches(spark.createDataFrame(rows, "id long, version int, text string"), 3, 40)
+    got = {(r.a, r.b) for r in near_dup.candidates(sketched, 2, held=held).collect()}
+    want = {(rows[a][0], rows[b][0]) for a, b in exact(rows, 3, 0.5)}
+    assert len(want & got) >= 0.9998 * len(want)
+
+
+def test_chance_pairs_stay_out_of_the_shuffle(spark, monkeypatch):
+    """On a vocabulary that stays the same, lists grow with the table; what is written from them must not grow faster by much."""
+    staged = []
+    stage = near_dup.stage
+
+    def counted(df, *args, **kwargs):
+        out = stage(df, *args, **kwargs)
+        staged.append(out.count())
+        return out
+
+    rng = random.Random(8)
+    rows = [(i, 1, " ".join(rng.choice(WORDS[:12]) for _ in range(100))) for i in range(2400)]
+    written = []
+    for n in (600, 2400):
+        _, sketched = near_dup.sketches(spark.createDataFrame(rows[:n], "id long, version int, text string"), 3, 40)
+        with monkeypatch.context() as m:
+            m.setattr(near_dup, "stage", counted)
+            near_dup.candidates(sketched, least=0.275)
+        written.append(sum(staged) / n)
+        staged.clear()
+    assert written[1] <= 47  # rows for each text, which has 47 keys
+
+
 def test_near_duplicates_of_nothing(spark):
     for rows in ([], [(1, 1, None)], [(1, 1, "one two three four five six")]):
         links, members = near_dup.near_duplicates(spark.createDataFrame(rows, "id long, version int, text string"))
